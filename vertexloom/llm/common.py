@@ -156,11 +156,14 @@ def gram_hash(prefix: np.ndarray, width: int) -> np.ndarray:
 # -- words -------------------------------------------------------------------
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and for each row the index of its first word (one more at the end)."""
+def words(buf: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and for each row the index of its first word (one more at the end).
+
+    solid: which bytes belong to words, where that is not all but white space.
+    """
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~_SPACE[buf] if solid is None else solid
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = off[1:-1]
