@@ -115,7 +115,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def averaged_descent(table: DataFrame, w: np.ndarray, gradient: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], rounds: int, rate: float, mean: np.ndarray, dev: np.ndarray, target: str | None = None, batch_rows: int = 512) -> np.ndarray:
+def averaged_descent(table: DataFrame, w: np.ndarray, gradient: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], rounds: int, rate: float, mean: np.ndarray, dev: np.ndarray, target: str | None = None, batch_rows: int = 128) -> np.ndarray:
     """Each round, every partition descends from the common weights over its own rows; the weights are averaged by rows.
 
     gradient(w, x, y) is the gradient of the mean loss of a minibatch; x has a
