@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP6_SQL, op6_mixing
+from .quality import op10_quality
 from .secrets import op4_secrets
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secrets": op4_secrets, "op6_mixing": op6_mixing}
+    return {"op4_secrets": op4_secrets, "op6_mixing": op6_mixing, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -141,7 +141,7 @@ class LabelModel:
         out = np.log((1 - self.hit1) / (1 - self.hit0))
         return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * on) + (1 - votes) @ (self.weight * out))
 
-    def fit(self, table: DataFrame, rounds: int = 3) -> LabelModel:
+    def fit(self, table: DataFrame, rounds: int = 2) -> LabelModel:
         m = len(self.weight)
         for turn in range(rounds):
             at = self
@@ -166,7 +166,7 @@ class LabelModel:
                 spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-6))
                 alike = (both - rate[:, None] * rate[None]) / (spread[:, None] * spread[None])
                 np.fill_diagonal(alike, 0)
-                nxt.weight = 1 / (1 + np.where(alike > 0.3, np.minimum(alike, 1), 0).sum(1))
+                nxt.weight = 1 / (1 + np.where(alike > 0.7, np.minimum(alike, 1), 0).sum(1))
             self = nxt
         return self
 
