@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op7_language
 from .mixing import OP6_SQL, op6_mixing
+from .ngram_join import op1_ngram_join
 from .quality import op10_quality
 from .secrets import op4_secrets
 from .substrings import op2_substrings
@@ -16,7 +17,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substrings": op2_substrings, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_mixing": op6_mixing, "op7_language": op7_language, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+    return {"op1_ngram_join": op1_ngram_join, "op2_substrings": op2_substrings, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_mixing": op6_mixing, "op7_language": op7_language, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
