@@ -13,12 +13,13 @@ from .quality import op10_quality
 from .secrets import op4_secrets
 from .substrings import op2_substrings
 from .suffixes import op5_suffixes
+from .topk import OP8_SQL, op8_topk
 from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_substrings": op2_substrings, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_mixing": op6_mixing, "op7_language": op7_language, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+    return {"op1_ngram_join": op1_ngram_join, "op2_substrings": op2_substrings, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_topk": op8_topk, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op6_mixing": OP6_SQL, "op8_topk": OP8_SQL}
