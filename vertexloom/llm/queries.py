@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op3_decontamination
 from .langid import op7_language
 from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import op1_ngram_join
@@ -18,7 +19,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_substrings": op2_substrings, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_topk": op8_topk, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+    return {"op1_ngram_join": op1_ngram_join, "op2_substrings": op2_substrings, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_topk": op8_topk, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -123,21 +123,29 @@ def _redact(found: list[dict] | None, text: str) -> str:
 
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        k, t = batch.schema.get_field_index("_found"), batch.schema.get_field_index("text")
-        texts = [x if x is None or not f else _redact(f, x) for f, x in zip(batch.column(k).to_pylist(), batch.column(t).to_pylist(), strict=True)]
-        cols = [pa.array(texts, pa.string()) if i == t else batch.column(i) for i in range(batch.num_columns) if i != k]
-        yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != "_found"])
+        names = batch.schema.names
+        found, texts = batch.column(names.index("_found")).to_pylist(), batch.column(names.index("text"))
+        cols = {n: batch.column(n) for n in names if n != "_found"}
+        hit = [i for i, f in enumerate(found) if f]
+        if hit:
+            new = texts.to_pylist()
+            for i in hit:
+                new[i] = _redact(found[i], new[i] or "")
+            cols["text"] = pa.array(new, texts.type)
+            if "n_chars" in cols:
+                sizes = cols["n_chars"].to_pylist()
+                for i in hit:
+                    sizes[i] = len(new[i])
+                cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each live secret's span replaced by ``<SECRET>``; all rows and columns stay.
 
-    Only documents that hold one leave the plain path. Rows that repeat a doc_id
-    with other texts would share spans, so documents are expected to be unique.
+    n_chars, where there is one, follows the text. Rows that repeat a doc_id with
+    another text would share spans, so ids are expected to name one text.
     """
-    live = scan(docs).select("doc_id", F.filter("found", lambda f: f["verdict"] == "live").alias("_found")).where(F.size("_found") > 0).dropDuplicates(["doc_id"])
-    joined = docs.join(live, "doc_id", "left")
-    cols = docs.columns
-    clean = joined.where("_found is null").select(*cols)
-    fixed = joined.where("_found is not null").select(*cols, "_found").mapInArrow(_redact_batches, docs.schema)
-    return clean.unionByName(fixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else fixed)
+    live = scan(docs).select("doc_id", F.filter("found", lambda f: f["verdict"] == "live").alias("_found")).where("size(_found) > 0 and doc_id is not null").dropDuplicates(["doc_id"])
+    joined = docs.join(live.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_found")
+    return joined.mapInArrow(_redact_batches, docs.schema)
