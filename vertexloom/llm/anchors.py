@@ -4,6 +4,8 @@ Symbols are words or bytes. A window's anchor is its smallest-hashed gram of
 `gram` symbols, the leftmost on ties, so equal windows have equal anchors at
 equal places. Consecutive windows with one anchor form a segment.
 
+0. Of documents with equal texts only the first goes on: all windows of the others
+   start earlier in it.
 1. Every document sends its anchors' hashes to buckets; a bucket keeps those that
    occur twice. A window whose anchor occurs once is unique.
 2. Documents with repeated anchors cut out the segments around them. Within a
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Stage, binary_array, gram_hash, ids_of, list_array, mix, pieces, prefix_hash, row_of, sliding_argmin, span_hash
 
 NO_ID = -(1 << 63)
+#: The end of a span that covers a whole copy.
+WHOLE = 1 << 40
 HOT = 8192
 #: Segments to a shard.
 SHARD = 8000
@@ -110,39 +114,50 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
     docs has _id (no nulls) and text. "Earlier" is a smaller _id, or the same and
     an earlier start.
     """
-    n_docs = docs.count()
+    text = stage.write(docs.select("_id", F.xxhash64("text").alias("t"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("n")), "texts")
+    firsts = stage.write(text.groupBy("t", "c", "n").agg(F.min("_id").alias("_id")), "firsts")
+    copies = text.alias("x").join(firsts.alias("y"), ["t", "c", "n"]).where("x._id <> y._id").select("x._id")
+    n_docs = firsts.count()
     buckets = max(32, n_docs // 1000)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
+            keys, ids, starts = [], [], []
             for part, buf, off in pieces(batch, "text"):
                 syms, first, _, _ = symbols(buf, off)
                 seg = segments(prefix_hash(syms), first, window, gram)
                 keys.append(seg.anchor)
-                ids.append(ids_of(part, "_id")[seg.row])
+                ids.append(ids_of(part, "t")[seg.row])
+                starts.append(seg.begin - first[seg.row])
             if keys:
                 h, doc = np.concatenate(keys), np.concatenate(ids)
+                order = np.lexsort((np.concatenate(starts), doc, h))
+                h, doc, start = h[order], doc[order], np.concatenate(starts)[order]
+                # copies of a text say nothing new
+                new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])) if len(h) else np.zeros(0, bool)
+                h, doc, start = h[new], doc[new], start[new].astype(np.int32)
                 bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 used, at = np.unique(bucket[order], return_index=True)
-                first = np.append(at, len(order)) * 8
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), binary_array(h[order].view(np.uint8), first), binary_array(doc[order].astype(np.int64).view(np.uint8), first)], names=["bucket", "h", "doc"])
+                first = np.append(at, len(order))
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(binary_array(np.ascontiguousarray(x[order]).view(np.uint8), first * x.itemsize) for x in (h, doc, start))], names=["bucket", "h", "doc", "start"])
 
     def keep(table):
         h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("h")])
         doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("doc")])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        n = np.diff(np.append(start, len(h)))
+        start = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("start")])
+        order = np.lexsort((start, doc, h))
+        h, doc, start = h[order], doc[order], start[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+        h, doc = h[new], doc[new]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.diff(np.append(at, len(h)))
         n = np.repeat(n, n)
         once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) & (n > 1)
-        return pa.table({"_id": doc[once], "h": h[once].view(np.int64), "n": np.minimum(n[once], 1 << 30).astype(np.int32)})
+        return pa.table({"t": doc[once], "h": h[once].view(np.int64), "n": np.minimum(n[once], 1 << 30).astype(np.int32)})
 
-    held = docs.mapInArrow(send, "bucket int, h binary, doc binary").groupBy("bucket").applyInArrow(keep, "_id long, h long, n int")
-    lists = stage.write(held.groupBy("_id").agg(F.collect_list(F.struct("h", "n")).alias("anchors")), "anchors")
-    stage.release()
+    held = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(send, "bucket int, h binary, doc binary, start binary").groupBy("bucket").applyInArrow(keep, "t long, h long, n int")
+    lists = stage.write(held.join(firsts.select("t", "_id"), "t").groupBy("_id").agg(F.collect_list(F.struct("h", "n")).alias("anchors")), "anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +201,6 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
     kind = "route long, k1 long, k2 long, doc long, lo long, hi long, payload binary"
     found = docs.join(lists.hint("shuffle_hash"), "_id", "left").select("_id", "text", "anchors").mapInArrow(cut, kind)
     found = stage.write(found, "segments")
-    stage.release()
     shards = max(8, found.where("route is not null").count() // SHARD)
 
     def match(table):
@@ -201,10 +215,9 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
 
     shard = F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int").alias("shard")
     met = found.where("route is not null").select(shard, "k1", "k2", "doc", "lo", "hi", "payload").groupBy("shard").applyInArrow(match, "doc long, lo long, hi long")
-    gone = met.unionByName(found.where("route is null").select("doc", "lo", "hi"))
+    gone = met.unionByName(found.where("route is null").select("doc", "lo", "hi")).unionByName(copies.select(F.col("_id").alias("doc"), F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).cast("long").alias("hi")))
     out = stage.write(gone.groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    stage.drop("segments", "anchors")
-    stage.release()
+    stage.drop("segments", "anchors", "texts", "firsts")
     return out
 
 
@@ -213,16 +226,22 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
 
 
-def covered(batch: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
-    """For every symbol of the rows whether the row's spans (third column) cover it."""
+def covered(batch: pa.RecordBatch, first: np.ndarray, window: int) -> np.ndarray:
+    """For every symbol of the rows whether the row's spans (third column) cover it.
+
+    A copy is covered whole if it has a window at all.
+    """
     lists = batch.column(2)
     flat = lists.flatten()
     size = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
     base = np.repeat(first[:-1], size)
     edge = np.zeros(first[-1] + 1, np.int64)
     if len(flat):
-        np.add.at(edge, flat.field(0).to_numpy() + base, 1)
-        np.add.at(edge, flat.field(1).to_numpy() + base, -1)
+        wide = np.repeat(np.diff(first), size)
+        lo, hi = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        use = wide >= window
+        np.add.at(edge, lo[use] + base[use], 1)
+        np.add.at(edge, np.minimum(hi, wide)[use] + base[use], -1)
     return np.cumsum(edge)[:-1] > 0
 
 

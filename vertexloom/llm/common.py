@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -53,7 +54,12 @@ class Stage:
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffle files behind it
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
@@ -62,13 +68,6 @@ class Stage:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files of plans that are no longer referenced."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def crc_fold(column: str) -> F.Column:
     """crc32 of the id as text, modulo 5; 0 is the held-out fold."""

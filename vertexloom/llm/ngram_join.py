@@ -138,7 +138,6 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
     shared = shared.groupBy("s1").agg(F.sum("c").alias("c"))
     alive = reps.join(shared, "s1").where(F.col("c") >= F.greatest(F.lit(1), F.expr("n div 20"))).select(F.col("rep").alias("_id"))
     alive = stage.write(alive, "alive")
-    stage.release()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +147,6 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
 
     full = docs.join(alive.hint("shuffle_hash"), "_id", "left_semi").select("_id", "text").mapInArrow(whole, "rep long, n long, h binary")
     full = stage.write(full.dropDuplicates(["rep"]), "full")
-    stage.release()
     held = full.agg(F.sum("n")).first()[0] or 0
     parts = max(16, math.ceil(held / BUCKET))
 
@@ -198,7 +196,6 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["rep", "n", "single", "h", "reach", "subsets", "scan"])
 
     ranked = stage.write(lists.select("rep", "parts", "n").mapInArrow(order, "rep long, n long, single long, h binary, reach long, subsets long, scan long"), "ranked")
-    stage.release()
     # cost of either way by size class; the boundary with the least sum is taken
     classes = ranked.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("k")).agg(F.sum("subsets").alias("subsets"), F.sum("scan").alias("scan")).orderBy("k").collect()
     options = [(sum(c.subsets for c in classes[:i]) + sum(c.scan for c in classes[max(0, i - 1) :]), i) for i in range(len(classes) + 1)]
@@ -251,7 +248,6 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
         return two.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, overlap long")
 
     links = stage.write(verified(pairs), "links")
-    stage.release()
     merged = stage.write(connected_components(links, "a", "b"), "merged")
     at = inverted.join(merged.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = at.groupBy("key", "kind").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "kind")

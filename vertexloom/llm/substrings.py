@@ -127,7 +127,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         for batch in batches:
             for part, buf, off in pieces(batch, "text"):
                 starts, ends, first = words(buf, off)
-                cover = covered(part, first)
+                cover = covered(part, first, window)
                 total = np.concatenate([[0], np.cumsum(cover)])
                 raw, kept = buf.tobytes(), []
                 for i in range(part.num_rows):

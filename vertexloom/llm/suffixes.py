@@ -233,7 +233,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in pieces(batch, "text"):
-                cover = covered(part, off)
+                cover = covered(part, off, window)
                 total = np.concatenate([[0], np.cumsum(cover)])
                 starts = cover.copy()
                 starts[1:] &= ~cover[:-1]
