@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..graph import PropertyGraph, _col
 from .lineage import cut
 
-ACTIVE = {"out": "_a_src", "in": "_a_dst", "either": "_a_src or _a_dst", "both": "_a_src and _a_dst"}
+ACTIVE = {"out": "src__a", "in": "dst__a", "either": "src__a or dst__a", "both": "src__a and dst__a"}
 
 
 class NotConverged(RuntimeError):
