@@ -54,6 +54,8 @@ def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in pieces(batch, "text", 1 << 20):
             y, found = ids_of(part, "y"), []
             for rows, h in word_patterns(buf, off):
+                if not len(h):
+                    continue
                 order = np.lexsort((rows, h))
                 h, rows = h[order], rows[order]
                 new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])))
