@@ -106,6 +106,6 @@ def read_pixels(spark: SparkSession, path: str, shrink: int = 8) -> DataFrame:
     at = flat.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(h div {shrink}) * (w div {shrink}) - 1"))).alias("id"))
     at = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(shrink * shrink - 1))).alias("k"))
     place = F.expr(f"((id div (w div {shrink})) * {shrink} + k div {shrink}) * w + (id % (w div {shrink})) * {shrink} + k % {shrink}")
-    byte = lambda n: F.conv(F.hex(F.substring("data", (F.col("place") * F.col("c") + n + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = lambda n: F.conv(F.hex(F.substring("data", (F.col("place") * F.col("c") + F.least(F.lit(n), F.col("c") - 1) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     means = at.withColumn("place", place).groupBy("id").agg(*[F.avg(byte(n)).cast("int").alias(c) for n, c in enumerate("bgr")])
     return means.select(F.col("id").cast("long"), (F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")).alias("rgb"))
