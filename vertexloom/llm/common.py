@@ -77,7 +77,7 @@ def crc_fold(column: str) -> F.Column:
 # -- Arrow slices ------------------------------------------------------------
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with about `limit` bytes of text: (slice, bytes, row offsets).
 
     A single row above the limit makes a slice of its own. Nulls have no bytes.
