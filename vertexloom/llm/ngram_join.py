@@ -16,8 +16,9 @@ from .common import Stage, binary_array, gram_hash, ids_of, lower_ascii, mix, pi
 
 WORDS = 4
 PERCENT = 85
-#: Tokens to a bucket of inverted lists.
+#: Tokens to a bucket of inverted lists, and sets to a group that orders its shingles.
 BUCKET = 400_000
+GROUP = 2000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +85,9 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
        Sets up to a boundary enumerate the 2-subsets of their prefix; larger
        ones, and those near the boundary, scan the lists of their single prefix
        shingles. The boundary is where the estimated costs of both are least.
-    3. Each list links to its centre; the pairs are verified on whole sets. Then
-       pairs of a list from different components are verified, if the shingles
-       that any other set has at all leave the threshold within reach.
+    3. Each list links to its centre; the pairs are measured on whole sets. Then
+       pairs of a list from different components are verified, if their overlaps
+       with the list's centre and their singles leave the threshold within reach.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "ngrams")
@@ -143,12 +144,13 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
         for batch in batches:
             for part, buf, off in pieces(batch, "text"):
                 h, first = shingle_sets(buf, off, width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), binary_array(h.view(np.uint8), first * 8)], names=["rep", "n", "h"])
+                rep = ids_of(part, "_id")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), binary_array(h.view(np.uint8), first * 8), pa.array(mix(rep.astype(np.int64).view(np.uint64)).view(np.int64))], names=["rep", "n", "h", "m"])
 
-    full = docs.join(alive.hint("shuffle_hash"), "_id", "left_semi").select("_id", "text").mapInArrow(whole, "rep long, n long, h binary")
+    full = docs.join(alive.hint("shuffle_hash"), "_id", "left_semi").select("_id", "text").mapInArrow(whole, "rep long, n long, h binary, m long")
     full = stage.write(full.dropDuplicates(["rep"]), "full")
-    held = full.agg(F.sum("n")).first()[0] or 0
-    parts = max(16, math.ceil(held / BUCKET))
+    n_full, held = full.agg(F.count("*"), F.sum("n")).first()
+    parts, groups = max(16, math.ceil((held or 0) / BUCKET)), max(8, n_full // GROUP)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,36 +168,37 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
         new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         df = np.repeat(np.diff(np.append(new, len(h))), np.diff(np.append(new, len(h))))
         h, rep, df = h[df > 1], rep[df > 1], df[df > 1]
-        order = np.argsort(rep, kind="stable")
-        h, rep, df = h[order], rep[order], df[order]
-        used, at = np.unique(rep, return_index=True)
-        first = np.append(at, len(rep)) * 8
-        names = ["rep", "h", "df"]
-        if not len(used):
-            return pa.table({"rep": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "df": pa.array([], pa.binary())})
-        return pa.table([pa.array(used), binary_array(h.view(np.uint8), first), binary_array(df.astype(np.int64).view(np.uint8), first)], names=names)
-
-    lists = full.mapInArrow(tokens, "bucket int, h binary, rep binary").groupBy("bucket").applyInArrow(frequencies, "rep long, h binary, df binary")
-    lists = lists.groupBy("rep").agg(F.collect_list(F.struct("h", "df")).alias("parts")).join(full.select("rep", "n"), "rep")
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefix shingles by frequency: for each set the singles it has, and its repeated shingles up to the 2-prefix."""
-        for batch in batches:
-            out = []
-            for rep, found, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = np.concatenate([np.frombuffer(x["h"], np.uint64) for x in found])
-                df = np.concatenate([np.frombuffer(x["df"], np.int64) for x in found])
-                single = n - len(h)
+        group = mix(rep.view(np.uint64)).view(np.int64) % groups
+        order = np.argsort(group, kind="stable")
+        used, at = np.unique(group[order], return_index=True)
+        first = np.append(at, len(order)) * 8
+        cols = [binary_array(np.ascontiguousarray(x[order].astype(t)).view(np.uint8), first) for x, t in ((h, np.uint64), (rep, np.int64), (df, np.int64))]
+        return pa.table([pa.array(used.astype(np.int32)), *cols], names=["part", "h", "rep", "df"])
+
+    def order(left, right):
+        """For each set of a group: the singles it has, and its repeated shingles by frequency up to the 2-prefix."""
+        out = {c: [] for c in ("rep", "n", "single", "h", "reach", "subsets", "scan")}
+        if len(left) and len(right):
+            h, rep, df = _column(left, "h", np.uint64), _column(left, "rep", np.int64), _column(left, "df", np.int64)
+            at = np.lexsort((h, df, rep))
+            h, rep, df = h[at], rep[at], df[at]
+            used, begin = np.unique(rep, return_index=True)
+            sizes = dict(zip(right.column("rep").to_pylist(), right.column("n").to_pylist(), strict=True))
+            for r, lo, hi in zip(used.tolist(), begin, [*begin[1:], len(rep)], strict=True):
+                n = sizes[r]
+                single = n - int(hi - lo)
                 keep = n - int(_overlap(np.array([n]), percent)[0]) + 2 - single
-                if keep <= 1:
-                    continue
-                at = np.lexsort((h, df))[:keep]
-                out.append((rep, n, single, h[at].tobytes(), max(0, keep - 1), len(at) * (len(at) - 1) // 2, int(df[at[: keep - 1]].sum())))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["rep", "n", "single", "h", "reach", "subsets", "scan"])
-
-    ranked = stage.write(lists.select("rep", "parts", "n").mapInArrow(order, "rep long, n long, single long, h binary, reach long, subsets long, scan long"), "ranked")
+                if keep > 1:
+                    m = min(keep, int(hi - lo))
+                    row = (r, n, single, h[lo : lo + m].tobytes(), keep - 1, m * (m - 1) // 2, int(df[lo : lo + keep - 1].sum()))
+                    for c, x in zip(out, row, strict=True):
+                        out[c].append(x)
+        return pa.table({c: pa.array(x, pa.binary() if c == "h" else pa.int64()) for c, x in out.items()})
+
+    lists = full.mapInArrow(tokens, "bucket int, h binary, rep binary").groupBy("bucket").applyInArrow(frequencies, "part int, h binary, rep binary, df binary")
+    part = F.pmod("m", F.lit(groups)).cast("int").alias("part")
+    ranked = lists.groupBy("part").cogroup(full.select(part, "rep", "n").groupBy("part")).applyInArrow(order, "rep long, n long, single long, h binary, reach long, subsets long, scan long")
+    ranked = stage.write(ranked, "ranked")
     # cost of either way by size class; the boundary with the least sum is taken
     classes = ranked.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("k")).agg(F.sum("subsets").alias("subsets"), F.sum("scan").alias("scan")).orderBy("k").collect()
     options = [(sum(c.subsets for c in classes[:i]) + sum(c.scan for c in classes[max(0, i - 1) :]), i) for i in range(len(classes) + 1)]
@@ -205,7 +208,7 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, (n, raw, reach) in enumerate(zip(ids_of(batch, "n"), batch.column(3).to_pylist(), ids_of(batch, "reach"), strict=True)):
+            for i, (n, single, raw, reach) in enumerate(zip(ids_of(batch, "n"), ids_of(batch, "single"), batch.column(3).to_pylist(), ids_of(batch, "reach"), strict=True)):
                 h = np.frombuffer(raw, np.uint64)
                 if n <= boundary:
                     a, b = np.triu_indices(len(h), 1)
@@ -213,17 +216,19 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
                     out[0].append(mix(low + mix(high)).view(np.int64))
                     out[1].append(np.zeros(len(a), np.int8))
                     out[2].append(np.full(len(a), i))
+                    out[3].append(single + b)
                 if 100 * n >= percent * boundary:
                     one = h[:reach]
                     out[0].append(one.view(np.int64))
                     out[1].append(np.ones(len(one), np.int8))
                     out[2].append(np.full(len(one), i))
+                    out[3].append(single + np.arange(len(one)))
             if out[0]:
-                key, kind, at = (np.concatenate(x) for x in out[:3])
-                cols = [pa.array(key), pa.array(kind), *(batch.column(c).take(pa.array(at.astype(np.int64))) for c in (0, 1, 2))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "kind", "rep", "n", "single"])
+                key, kind, at, pos = (np.concatenate(x) for x in out)
+                cols = [pa.array(key), pa.array(kind), pa.array(pos.astype(np.int32)), *(batch.column(c).take(pa.array(at.astype(np.int64))) for c in (0, 1, 2))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "kind", "pos", "rep", "n", "single"])
 
-    inverted = stage.write(ranked.mapInArrow(keys, "key long, kind byte, rep long, n long, single long"), "inverted")
+    inverted = stage.write(ranked.mapInArrow(keys, "key long, kind byte, pos int, rep long, n long, single long"), "inverted")
     rank = F.struct(F.expr("single * 1000 div n").alias("rank"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("single").alias("asingle"))
     centres = inverted.groupBy("key", "kind").agg(F.min(rank).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "kind", "c.a", "c.an", "c.asingle")
     can = F.expr(f"{100 + percent} * least(n - single, an - asingle) >= {percent} * (n + an)")
@@ -231,31 +236,43 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, size = [], []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = np.concatenate([x, y])
+            size = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if (100 + percent) * common >= percent * (len(x) + len(y)):
-                    keep.append(i)
-                    size.append(common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(size, pa.int64())], names=["a", "b", "overlap"])
+                size.append((int((both[1:] == both[:-1]).sum()), len(both)))
+            cols = [pa.array([x[i] for x in size], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["a", "b", "overlap", "both"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(full.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
         two = one.join(full.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b")
-        return two.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, overlap long")
+        return two.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, overlap long, both long")
 
-    links = stage.write(verified(pairs), "links")
+    linked = F.expr(f"{100 + percent} * overlap >= {percent} * both")
+    measured = stage.write(verified(pairs), "measured")
+    links = measured.where(linked).select("a", "b", "overlap")
     merged = stage.write(connected_components(links, "a", "b"), "merged")
     at = inverted.join(merged.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = at.groupBy("key", "kind").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "kind")
-    rest = at.join(open_keys, ["key", "kind"], "left_semi")
-    other = rest.select("key", "kind", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("single").alias("asingle"), F.col("component").alias("acomponent"))
-    crossing = rest.join(other, ["key", "kind"]).where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("acomponent")) & can & ((F.col("kind") == 0) | (F.col("n") > boundary) | (F.col("an") > boundary)))
+    # a row stays where even the smallest set of another component in its list could link to it
+    lists_of = at.groupBy("key", "kind").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least_n")).where("x < y")
+    open_keys = lists_of.join(centres.select("key", "kind", F.col("a").alias("centre")), ["key", "kind"])
+    hope = F.expr(f"{percent} * (n + least_n) <= {100 + percent} * least(n - single, n - pos + 1 - l.kind)")
+    rest = at.alias("l").join(open_keys.alias("r"), F.expr("l.key = r.key and l.kind = r.kind") & hope).select("l.*", "centre")
+    again = rest.groupBy("key", "kind").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "kind")
+    rest = rest.join(again, ["key", "kind"], "left_semi")
+    to_centre = measured.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "overlap")
+    rest = rest.join(to_centre, (F.least("rep", "centre") == F.col("_a")) & (F.greatest("rep", "centre") == F.col("_b")), "left")
+    inside = F.when(F.col("rep") == F.col("centre"), F.col("n")).otherwise(F.col("overlap"))
+    rest = stage.write(rest.select("key", "kind", "pos", "rep", "n", "single", "component", inside.alias("inside")), "rest")
+    other = rest.select("key", "kind", F.col("pos").alias("apos"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("single").alias("asingle"), F.col("component").alias("acomponent"), F.col("inside").alias("ainside"))
+    # what both share lies in the centre, where each has `inside`, or outside it, where singles cannot be shared
+    near = F.expr(f"{100 + percent} * (least(inside, ainside) + greatest(0, least(n - inside - single, an - ainside - asingle))) >= {percent} * (n + an)")
+    # a linked pair of these very sizes shares a key this early in both orders
+    early = F.expr(f"{percent} * (n + an) <= {100 + percent} * least(n - pos + 1 - kind, an - apos + 1 - kind)")
+    crossing = rest.join(other, ["key", "kind"]).where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("acomponent")) & can & early & F.coalesce(near, F.lit(True)) & ((F.col("kind") == 0) | (F.col("n") > boundary) | (F.col("an") > boundary)))
     more = crossing.select("a", F.col("rep").alias("b")).distinct()
-    more = stage.write(verified(more), "more")
+    more = stage.write(verified(more).where(linked).select("a", "b", "overlap"), "more")
     return members, links.unionByName(more)
 
 
