@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import edges_only, moons, social, weighted
+from vertexloom import catalog
 from vertexloom.algorithms import communities, neighbors, paths, ranking
 from vertexloom.algorithms.components import connected_components
 from vertexloom.algorithms.trees import minimum_spanning_forest
@@ -201,3 +202,17 @@ def test_recommendations(spark):
     assert error < sum((4.25 - r.rating) ** 2 for r in ratings.collect()) / 8
     unknown = recommend.predict(model, spark.createDataFrame([(77, 88)], "src long, dst long")).first()
     assert unknown.score == model.mean
+
+
+def test_recommendations_of_many_ratings(spark):
+    ratings = spark.range(1000).selectExpr("id % 2 as src", "id div 2 as dst", "1.0 + (id * 7) % 5 as rating")
+    got = recommend.predict(recommend.svdpp(ratings), ratings.select("src", "dst")).join(ratings, ["src", "dst"])
+    error, spread = got.agg(F.avg((F.col("score") - F.col("rating")) ** 2), F.var_pop("rating")).first()
+    assert error < spread
+
+
+def test_predictions_of_all_supplied_parts(spark, tmp_path):
+    lines = [(10, 1, 20.0), (10, 1, 40.0), (10, 7, 50.0), (11, 20, 10.0)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["svdpp_pred"](spark, str(tmp_path)).collect()
+    assert {(r.src, r.dst) for r in got} == {(10, 1000001), (10, 1000007), (11, 1000020)}
