@@ -216,3 +216,54 @@ def test_predictions_of_all_supplied_parts(spark, tmp_path):
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = catalog.QUERIES["svdpp_pred"](spark, str(tmp_path)).collect()
     assert {(r.src, r.dst) for r in got} == {(10, 1000001), (10, 1000007), (11, 1000020)}
+
+
+def _user_tables(spark, tmp_path):
+    """Purchases of one day, so that each is followed by the next; returns the edges."""
+    users = [1, 2, 3, 1, 4, 5, 6, 5, 7]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(users)], "event_id long, user_id long")
+    rows.selectExpr("event_id", "user_id", "'purchase' as event_type", "timestamp_seconds(1700000000 + event_id) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    return set(users), list(zip(users, users[1:], strict=False))
+
+
+def _reach(ids, edges):
+    reach = {i: {i} for i in ids}
+    for _ in ids:
+        for a in ids:
+            reach[a] |= {d for s, d in edges if s in reach[a]}
+    return reach
+
+
+def test_strong_components_and_circles_of_all_edges(spark, tmp_path):
+    ids, edges = _user_tables(spark, tmp_path)
+    reach = _reach(ids, edges)
+    want = {a: min(b for b in ids if a in reach[b] and b in reach[a]) for a in ids}
+    assert as_dict(catalog.QUERIES["scc_whole"](spark, str(tmp_path))) == want
+    lines = {}
+    for ego in {s % 7 for s, _ in edges}:
+        own = [(s, d) for s, d in edges if s % 7 == ego]
+        reach = _reach({x for e in own for x in e}, own + [(d, s) for s, d in own])
+        circles = sorted({tuple(sorted(r)) for r in reach.values()})
+        lines[str(ego)] = ";".join(" ".join(map(str, c)) for c in circles)
+    assert as_dict(catalog.QUERIES["ego_submission_whole"](spark, str(tmp_path))) == lines
+
+
+def test_depths_of_all_flows(spark, tmp_path):
+    flows = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 1)]
+    tables = {
+        "nation": ([(i, f"n{i}", 0) for i in range(5)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(i, i) for i in range(5)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(i, i) for i in range(5)], "s_suppkey long, s_nationkey int"),
+        "orders": ([(k, a) for k, (a, _) in enumerate(flows)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(k, b, 3.0 * k + 1) for k, (_, b) in enumerate(flows)], "l_orderkey long, l_suppkey long, l_quantity double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
+    assert as_dict(catalog.QUERIES["pregel_max_hops_whole"](spark, str(tmp_path))) == want
+    assert as_dict(catalog.QUERIES["propagate_edge_count_whole"](spark, str(tmp_path))) == want
+
+
+def test_depths_of_a_long_chain(spark):
+    chain = edges_only(spark, [(i, i + 1) for i in range(26)])
+    assert as_dict(paths.max_hops(chain, 30)) == {i: i for i in range(27)}

@@ -15,6 +15,7 @@ from .functions.vectors import cosine, java_hash, rgb
 from .graph import PropertyGraph
 from .ml import pipelines, recommend
 from .operators import structure
+from .plans.lineage import cut
 from .plans.pregel import pregel
 from .sources import generators, gexf, readers
 
@@ -337,6 +338,21 @@ def propagate_edge_count(spark, d):
     return paths.propagate_edge_count(v.nation_dag(spark, d))
 
 
+def _whole_dag(spark, d):
+    g = v.nation_flow(spark, d)
+    return PropertyGraph(g.vertices, cut(g.edges.where("src < dst")))
+
+
+@query()
+def pregel_max_hops_whole(spark, d):
+    return paths.max_hops(_whole_dag(spark, d), 30)
+
+
+@query()
+def propagate_edge_count_whole(spark, d):
+    return paths.propagate_edge_count(_whole_dag(spark, d))
+
+
 _TOUR = """, walk(step, here, seen, src, dst) as (select 0, 0::bigint, [0::bigint], null::bigint, null::bigint union all
 select step + 1, case when e.src = here then e.dst else e.src end, list_append(seen, case when e.src = here then e.dst else e.src end), e.src, e.dst from
 (select step, here, seen, arg_min({'src': n.src, 'dst': n.dst}, {'w': weight, 's': n.src, 'd': n.dst}) as e from walk join nation_e n on (n.src = here and not list_contains(seen, n.dst)) or (n.dst = here and not list_contains(seen, n.src)) group by 1, 2, 3))
@@ -428,6 +444,15 @@ def scc(spark, d):
     return communities.strong_components(PropertyGraph(g.vertices, g.edges.where(_SPARSE_USERS)))
 
 
+# `scc`, `ego_submission` and the two DAG queries share a filter on the edges with their SQL; the queries named whole run on
+# all edges of the view and have no SQL; tests hold them against brute force.
+
+
+@query()
+def scc_whole(spark, d):
+    return communities.strong_components(v.user_flow(spark, d))
+
+
 @query(v.with_views("part_v part_e", ", t as (select x.src as a, x.dst as b, y.dst as c from part_e x join part_e y on x.dst = y.src join part_e z on z.src = x.src and z.dst = y.dst) select id, coalesce(n, 0) as triangles from part_v left join (select i, count(*) as n from (select a as i from t union all select b from t union all select c from t) group by 1) on id = i"))
 def triangles(spark, d):
     return communities.triangles(v.copurchase(spark, d))
@@ -541,6 +566,12 @@ def ego_submission(spark, d):
     return gexf.submission(structure.ego_circles(edges))
 
 
+@query()
+def ego_submission_whole(spark, d):
+    edges = v.user_flow(spark, d).edges.select((F.col("src") % 7).cast("string").alias("ego"), "src", "dst")
+    return gexf.submission(structure.ego_circles(edges))
+
+
 @query("select n_nationkey as id, n_name as name, n_nationkey * 65793 + 513 as packed, (n_nationkey * 65793 + 513) >> 16 & 255 as r, (n_nationkey * 65793 + 513) >> 8 & 255 as g, (n_nationkey * 65793 + 513) & 255 as b from nation")
 def rgb_unpack(spark, d):
     rows = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.expr("n_nationkey * 65793 + 513").alias("packed")).withColumn("c", rgb("packed"))

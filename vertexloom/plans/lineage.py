@@ -20,6 +20,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without_estimate(df: DataFrame) -> DataFrame:
+    """A cut's rows without its size estimate.
+
+    A checkpoint keeps the estimate of its plan, a product over joins. A loop that
+    joins its state with itself multiplies the digits of that number each round,
+    and after some 20 rounds planning does not end.
+    """
+    spark, plan = df.sparkSession, df._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
+
+
 def fingerprint(df: DataFrame, *columns: str) -> tuple[int, int]:
     """Number of rows and an order-free hash, for telling whether a round changed anything."""
     row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("h")).first()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph, _col
-from .lineage import cut
+from .lineage import cut, without_estimate
 
 ACTIVE = {"out": "src__a", "in": "dst__a", "either": "src__a or dst__a", "both": "src__a and dst__a"}
 
@@ -36,7 +36,7 @@ def pregel(graph: PropertyGraph, state: Mapping[str, Column | str], update: Mapp
         messages = _messages(live.edges, merge, to_src, to_dst, src_if, dst_if)
         joined = vertices.join(messages.withColumn("_hit", F.lit(True)), "id", "left")
         new = [F.when(F.col("_hit"), _col(update[k])).otherwise(vertices[k]).alias(k) if k in update else vertices[k] for k in names]
-        nxt = cut(joined.select("id", *new, F.coalesce("_hit", F.lit(False)).alias("_a")))
+        nxt = without_estimate(cut(joined.select("id", *new, F.coalesce("_hit", F.lit(False)).alias("_a"))))
         received = nxt.where("_a").limit(1).count()
         vertices = nxt
         if not received:
