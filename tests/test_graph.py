@@ -267,3 +267,8 @@ def test_depths_of_all_flows(spark, tmp_path):
 def test_depths_of_a_long_chain(spark):
     chain = edges_only(spark, [(i, i + 1) for i in range(26)])
     assert as_dict(paths.max_hops(chain, 30)) == {i: i for i in range(27)}
+
+
+def test_triangles_of_buckets_past_the_least_number(spark):
+    g = edges_only(spark, [(1, 2), (2, 3), (3, 1), (91, 92), (92, 93), (93, 91), (9, 10), (-1, 1)])
+    assert as_dict(communities.bucketed_triangles(g, 10, 2)) == {0: 3, **dict.fromkeys(range(1, 9), 0), 9: 3}

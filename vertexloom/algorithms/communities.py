@@ -109,12 +109,16 @@ def triangles(graph: PropertyGraph) -> DataFrame:
 
 
 def bucketed_triangles(graph: PropertyGraph, width: int, buckets: int) -> DataFrame:
-    """bucket, total: per-vertex triangle counts added up in the subgraph of ids [width * bucket, width * (bucket + 1)); one plan for all buckets."""
+    """bucket, total: per-vertex triangle counts added up in the subgraph of ids [width * bucket, width * (bucket + 1)).
+
+    One plan for all buckets. They go up to that of the largest id, and there are at least `buckets`.
+    """
     spark = graph.vertices.sparkSession
-    inside = graph.edges.where(F.expr(f"src div {width} = dst div {width} and src div {width} between 0 and {buckets - 1} and src >= 0"))
+    inside = graph.edges.where(F.expr(f"src div {width} = dst div {width} and src >= 0 and dst >= 0"))
     simple = simple_edges(inside.withColumn("bucket", F.expr(f"src div {width}")), "bucket")
     found = _corners(simple, "bucket").groupBy("bucket").agg((3 * F.count("*")).alias("total"))
-    return spark.range(buckets).select(F.col("id").alias("bucket")).join(found, "bucket", "left").select("bucket", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+    last = graph.vertices.agg(F.max(F.expr(f"id div {width}"))).first()[0]
+    return spark.range(max(buckets, (last or 0) + 1)).select(F.col("id").alias("bucket")).join(found, "bucket", "left").select("bucket", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
 
 
 def clustering_coefficient(graph: PropertyGraph) -> DataFrame:
