@@ -7,7 +7,7 @@ from vertexloom.algorithms import communities, neighbors, paths, ranking
 from vertexloom.algorithms.components import connected_components
 from vertexloom.algorithms.trees import minimum_spanning_forest
 from vertexloom.graph import PropertyGraph
-from vertexloom.ml import recommend
+from vertexloom.ml import pipelines, recommend
 from vertexloom.operators import structure
 from vertexloom.plans.pregel import NotConverged, pregel
 from vertexloom.sources import generators, gexf, readers
@@ -272,3 +272,15 @@ def test_depths_of_a_long_chain(spark):
 def test_triangles_of_buckets_past_the_least_number(spark):
     g = edges_only(spark, [(1, 2), (2, 3), (3, 1), (91, 92), (92, 93), (93, 91), (9, 10), (-1, 1)])
     assert as_dict(communities.bucketed_triangles(g, 10, 2)) == {0: 3, **dict.fromkeys(range(1, 9), 0), 9: 3}
+
+
+def test_topics_train_on_all_terms(spark, tmp_path):
+    words = [f"{a}{b}{c}rarely" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefg"]
+    rows = [(i, " ".join(words[35 * i : 35 * (i + 1)])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bags = readers.word_bags(docs)
+    top, shares = pipelines.topics(bags, k=2, terms=700, rounds=2)
+    assert {t for r in top.collect() for t in r.terms} == set(words)
+    assert {r.doc_id for r in shares.collect() if abs(sum(r.topicDistribution) - 1) < 1e-9} == set(range(20))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.QUERIES["lda"](spark, str(tmp_path)).count() == 5

@@ -624,7 +624,7 @@ def checkpointed_iteration(spark, d):
 
 @query()
 def lda(spark, d):
-    top, _ = pipelines.topics(readers.word_bags(v.table(spark, d, "documents")), vocab_size=500, rounds=5)
+    top, _ = pipelines.topics(readers.word_bags(v.table(spark, d, "documents")))
     return top.select("topic", F.array_join("terms", " ").alias("terms"))
 
 
