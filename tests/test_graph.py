@@ -284,3 +284,10 @@ def test_topics_train_on_all_terms(spark, tmp_path):
     assert {r.doc_id for r in shares.collect() if abs(sum(r.topicDistribution) - 1) < 1e-9} == set(range(20))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert catalog.QUERIES["lda"](spark, str(tmp_path)).count() == 5
+
+
+def test_pairs_of_all_points(spark, tmp_path):
+    x = {i: float(i * 11 % 30) for i in range(40)}
+    spark.createDataFrame([(i, [y, 0.0], 0) for i, y in x.items()], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["all_pairs_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in x for b in x if x[a] > x[b]}

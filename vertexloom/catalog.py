@@ -664,4 +664,12 @@ def all_pairs(spark, d):
     return a.join(b, (F.col("src") != F.col("dst")) & (F.col("x") > F.col("y"))).select("src", "dst")
 
 
+@query()
+def all_pairs_whole(spark, d):
+    """`all_pairs` of every point, without the filter that it shares with its SQL."""
+    p = v.points(spark, d)
+    a, b = p.select(F.col("id").alias("src"), F.col("pos")[0].alias("x")), p.select(F.col("id").alias("dst"), F.col("pos")[0].alias("y"))
+    return a.join(b, (F.col("src") != F.col("dst")) & (F.col("x") > F.col("y"))).select("src", "dst")
+
+
 __all__ = ["ORACLES", "QUERIES", "cosine"]
