@@ -1,5 +1,6 @@
 """The operators on small tables: brute force, nulls, empty texts, ties, repeated rows, empty tables, clashing columns."""
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -11,9 +12,10 @@ from vertexloom.llm import queries
 from vertexloom.llm.decontamination import leaks, without_leaks
 from vertexloom.llm.langid import identify, train
 from vertexloom.llm.common import Stage
+from vertexloom.llm.linear import N_DENSE, averaged_descent, dense_features, feature_table
 from vertexloom.llm.mixing import mix
 from vertexloom.llm.ngram_join import near_duplicates
-from vertexloom.llm.quality import quality_scores
+from vertexloom.llm.quality import drawn, quality_scores
 from vertexloom.llm.secrets import redact, scan
 from vertexloom.llm.substrings import drop_repeats
 from vertexloom.llm.suffixes import drop_repeated_bytes
@@ -226,3 +228,18 @@ def test_pipeline(spark, tmp_path, docs, labels):
             assert now.columns == plain.columns
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert set(plain.columns) < set(out.columns) and out.where("taken > 3 * size or taken <= 0").count() == 0
+
+
+def test_steps_draw_from_all_positives(spark, tmp_path):
+    pos, seen = np.arange(9000), str(tmp_path)
+
+    def gradient(v, x, _, rng):
+        np.save(f"{seen}/{uuid.uuid4().hex}.npy", drawn(pos, 512, rng))
+        return np.zeros_like(v)
+
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('word ', id) as text")
+    table = feature_table(docs, dense_features)
+    averaged_descent(table, np.zeros(N_DENSE + 1), gradient, 1, 0.05, np.zeros(N_DENSE), np.ones(N_DENSE))
+    draws = [np.load(f) for f in tmp_path.glob("*.npy")]
+    assert len({d.tobytes() for d in draws}) == len(draws) > 100
+    assert len(np.unique(np.concatenate(draws))) > 8900

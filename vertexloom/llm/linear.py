@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,23 +116,25 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def averaged_descent(table: DataFrame, w: np.ndarray, gradient: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], rounds: int, rate: float, mean: np.ndarray, dev: np.ndarray, target: str | None = None, batch_rows: int = 128) -> np.ndarray:
+def averaged_descent(table: DataFrame, w: np.ndarray, gradient: Callable[[np.ndarray, np.ndarray, np.ndarray | None, np.random.Generator], np.ndarray], rounds: int, rate: float, mean: np.ndarray, dev: np.ndarray, target: str | None = None, batch_rows: int = 128) -> np.ndarray:
     """Each round, every partition descends from the common weights over its own rows; the weights are averaged by rows.
 
-    gradient(w, x, y) is the gradient of the mean loss of a minibatch; x has a
-    last column of ones. All rows take part in every round.
+    gradient(w, x, y, rng) is the gradient of the mean loss of a minibatch; x has
+    a last column of ones, rng is seeded by round and partition and goes on from
+    step to step. All rows take part in every round.
     """
     d = len(w)
     for turn in range(rounds):
         step, at = rate / (1 + turn), w
 
-        def kernel(batches, at=at, step=step):
+        def kernel(batches, at=at, step=step, turn=turn):
             v, n, g2 = at.copy(), 0, np.full(d, 1e-4)
+            rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
             for b in batches:
                 x = np.hstack([(matrix(b) - mean) / dev, np.ones((b.num_rows, 1))]).clip(-8, 8)
                 y = ids_of(b, target).astype(np.float64) if target else None
                 for lo in range(0, len(x), batch_rows):
-                    g = gradient(v, x[lo : lo + batch_rows], None if y is None else y[lo : lo + batch_rows])
+                    g = gradient(v, x[lo : lo + batch_rows], None if y is None else y[lo : lo + batch_rows], rng)
                     g2 = 0.95 * g2 + 0.05 * g * g
                     v = v - step * g / (np.sqrt(g2) + 1e-3)
                 n += len(x)

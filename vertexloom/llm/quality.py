@@ -30,6 +30,11 @@ def estimated_prior(unlabelled: np.ndarray, positive: np.ndarray, least: float =
     return float(np.clip(ratios.min(), 0.02, 0.98))
 
 
+def drawn(pos: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
+    """The positives of a step: all, or `most` drawn from all."""
+    return pos[rng.integers(0, len(pos), most)] if len(pos) > most else pos
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, rounds: int = 6) -> DataFrame:
     """doc_id, held_out, score of every document.
 
@@ -51,11 +56,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROW
     mean, dev, n = moments(table, N_DENSE)
     w = np.zeros(N_DENSE + 1)
     if held and n:
-        pos = np.hstack([(np.array([r.x for r in held], np.float64) - mean) / dev, np.ones((len(held), 1))]).clip(-8, 8)
-        few = pos[:: max(1, len(pos) // 4096)]
+        raw = np.array([r.x for r in held], np.float32)  # goes to every task; half the size of the scaled rows
+
+        def scaled(x):
+            return np.hstack([(x.astype(np.float64) - mean) / dev, np.ones((len(x), 1))]).clip(-8, 8)
 
-        def naive(v, x, _):
-            part = few[np.random.default_rng(len(x)).integers(0, len(few), 512)] if len(few) > 512 else few
+        def naive(v, x, _, rng):
+            part = scaled(drawn(raw, 512, rng))
             return -(part * (1 - sigmoid(part @ v))[:, None]).mean(0) / 2 + (x * sigmoid(x @ v)[:, None]).mean(0) / 2 + 1e-3 * v
 
         w = averaged_descent(table, w, naive, 2, 0.05, mean, dev)
@@ -67,10 +74,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROW
                 h += np.bincount((sigmoid(x @ w) * (BINS - 1)).astype(int), minlength=BINS)
             return h
 
-        prior = estimated_prior(summed(table, histogram, BINS), np.bincount((sigmoid(pos @ w) * (BINS - 1)).astype(int), minlength=BINS))
+        prior = estimated_prior(summed(table, histogram, BINS), np.bincount((sigmoid(scaled(raw) @ w) * (BINS - 1)).astype(int), minlength=BINS))
 
-        def risk(v, x, _):
-            part = few[np.random.default_rng(int(abs(v[0]) * 1e6) % 9973).integers(0, len(few), 1024)] if len(few) > 1024 else few
+        def risk(v, x, _, rng):
+            part = scaled(drawn(raw, 1024, rng))
             up, uu = sigmoid(part @ v), sigmoid(x @ v)
             rest = np.log1p(np.exp(np.clip(x @ v, -40, 40))).mean() - prior * np.log1p(np.exp(np.clip(part @ v, -40, 40))).mean()
             plus = -prior * (part * (1 - up)[:, None]).mean(0)

@@ -204,7 +204,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_RO
     w = np.zeros(d + 1)
     w[-1] = -2.0
 
-    def gradient(v, x, y):
+    def gradient(v, x, y, _):
         return (x * (sigmoid(x @ v) - y)[:, None]).mean(0) + 1e-5 * v
 
     w = averaged_descent(fitted, w, gradient, rounds, 0.2, mean, dev, "p")
