@@ -76,7 +76,9 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
     Documents with equal sets are one set, named by its smallest _id. Links span
     every component: sets linked to a list's centre are merged first, and only
     pairs from different components are verified after that, so a component's
-    pairs need not all be listed while none between components is lost.
+    pairs need not all be listed while none between components is lost. Links
+    between different sets of one component are left out as well, so the links
+    do not give the number of partners of a document.
 
     1. A set's prefix is its ``n - least overlap + slack`` smallest hashes; of a
        linked pair each shares `slack` with the other. Sets with fewer repeated
