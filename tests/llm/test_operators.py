@@ -69,6 +69,34 @@ def test_ngram_join(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("boundary", [1, 40, 10**6])
+def test_ngram_join_by_either_branch(docs, boundary, monkeypatch):
+    """All sets by scans, both branches, all by subsets; with shingles that count as common."""
+    from vertexloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "COMMON", 6)
+    monkeypatch.setattr(ngram_join, "YIELD", 50)
+    assert by_id(near_duplicates(docs, boundary=boundary), "n_shingles", "component_id") == brute.components(corpus())
+    assert by_id(near_duplicates(docs, 80, 5, boundary), "n_shingles", "component_id") == brute.components(corpus(), 5, 80)
+
+
+def test_boundary_is_where_costs_are_least():
+    from types import SimpleNamespace
+
+    from vertexloom.llm.ngram_join import boundary_of
+
+    light, heavy = SimpleNamespace(k=10, subsets=2, reach=2, shingles=10), SimpleNamespace(k=30, subsets=10**6, reach=100, shingles=1000)
+    assert boundary_of([]) == 1 and boundary_of([heavy]) == 1 and boundary_of([], 7) == 7
+    assert boundary_of([light, light, heavy]) == int(2 ** (11 / 4))
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    one, two = " ".join(VOCAB[:40]), " ".join(VOCAB[40:80])
+    rows = spark.createDataFrame([(None, one), (None, two), (3, two), (4, "short")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(rows).collect()) == [(0, 0), (0, 0), (3, 0), (4, 4)]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in drop_repeats(rows).collect()) == [(0, 0), (0, 0), (3, 40), (4, 0)]
+
+
 def test_substrings(docs, empty):
     got = drop_repeats(docs)
     assert by_id(got.withColumn("sha", F.sha2(F.col("kept").cast("binary"), 256)), "n_words", "n_removed", "sha") == brute.substrings(corpus())

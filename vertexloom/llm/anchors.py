@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import Stage, binary_array, gram_hash, ids_of, list_array, mix, pieces, prefix_hash, row_of, sliding_argmin, span_hash
 
-NO_ID = -(1 << 63)
+#: The ids below NO_ID + UNNAMED stand for texts without one.
+NO_ID, UNNAMED = -(1 << 63), 1 << 48
 #: The end of a span that covers a whole copy.
 WHOLE = 1 << 40
 HOT = 8192
@@ -222,8 +223,14 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """_id and text; a null doc_id counts as the smallest id."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
+    """_id and text; null doc_ids count as the smallest ids, each text by its hash."""
+    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(UNNAMED))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("_id"), "text")
+
+
+def named(column: str) -> F.Column:
+    """The doc_id of an _id."""
+    return F.when(F.col(column) >= NO_ID + UNNAMED, F.col(column))
 
 
 def covered(batch: pa.RecordBatch, first: np.ndarray, window: int) -> np.ndarray:
@@ -245,4 +252,4 @@ def covered(batch: pa.RecordBatch, first: np.ndarray, window: int) -> np.ndarray
     return np.cumsum(edge)[:-1] > 0
 
 
-__all__ = ["NO_ID", "covered", "identified", "list_array", "merged", "repeated_windows", "row_of", "segments"]
+__all__ = ["NO_ID", "covered", "identified", "list_array", "merged", "named", "repeated_windows", "row_of", "segments"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..algorithms.components import connected_components
-from .anchors import NO_ID, identified
+from .anchors import identified, named
 from .common import Stage, binary_array, gram_hash, ids_of, lower_ascii, mix, pieces, prefix_hash, span_hash, word_hashes, words
 
 WORDS = 4
@@ -19,6 +19,12 @@ PERCENT = 85
 #: Tokens to a bucket of inverted lists, and sets to a group that orders its shingles.
 BUCKET = 400_000
 GROUP = 2000
+#: A shingle in more sets than this, and than one in SHARE of them, is common: it is ordered last without a list.
+COMMON, SHARE = 8192, 2048
+#: Bytes of a row of the inverted lists, and of both sets of a measured pair for each shingle.
+ROW_BYTES, PAIR_BYTES = 40, 16
+#: Keys to a yielded batch.
+YIELD = 64_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -62,15 +68,41 @@ def _overlap(n: np.ndarray, percent: int) -> np.ndarray:
 def _packed(bucket: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     used, at = np.unique(bucket[order], return_index=True)
-    first = np.append(at, len(order)) * 8
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(binary_array(np.ascontiguousarray(x[order]).view(np.uint8), first) for x in cols.values())], names=["bucket", *cols])
+    first = np.append(at, len(order))
+    packed = [binary_array(np.ascontiguousarray(x[order]).view(np.uint8), first * x.itemsize) for x in cols.values()]
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *packed], names=["bucket", *cols])
+
+
+def _keys(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of (keys, kind, positions, rep, n, single) as one batch."""
+    size = [len(r[0]) for r in rows]
+    each = [np.repeat(np.array([r[i] for r in rows], t), size) for i, t in ((1, np.int8), (3, np.int64), (4, np.int64), (5, np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([r[0] for r in rows]), each[0], np.concatenate([r[2] for r in rows]).astype(np.int32), *each[1:])], names=names)
 
 
 def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
 
 
-def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def boundary_of(classes: list, boundary: int | None = None) -> int:
+    """The largest n that enumerates subsets: where the bytes of both branches are least in all.
+
+    classes: k (quarter powers of two of n), subsets, reach and shingles, summed over
+    the sets of the class. A subset is a row. A scanned shingle is a row too, and a
+    scan meets the centres of unrelated lists, so one measured pair a set is added.
+    Both are sums over single sets, so the boundary does not move as the corpus grows.
+    """
+    if boundary is not None:
+        return boundary
+    light = [c.subsets * ROW_BYTES for c in classes]
+    heavy = [c.reach * ROW_BYTES + c.shingles * PAIR_BYTES for c in classes]
+    # the class below the boundary goes both ways
+    options = [(sum(light[:i]) + sum(heavy[max(0, i - 1) :]), i) for i in range(len(classes) + 1)]
+    best = min(options)[1]
+    return int(2 ** ((classes[best - 1].k + 1) / 4)) if best else 1
+
+
+def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, boundary: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): _id, n, rep of every document; a, b, overlap of links between different sets.
 
     Documents with equal sets are one set, named by its smallest _id. Links span
@@ -82,11 +114,14 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
 
     1. A set's prefix is its ``n - least overlap + slack`` smallest hashes; of a
        linked pair each shares `slack` with the other. Sets with fewer repeated
-       prefix shingles have no partner and go no further.
-    2. Shingles of the rest are counted and ordered by frequency, rare first.
-       Sets up to a boundary enumerate the 2-subsets of their prefix; larger
-       ones, and those near the boundary, scan the lists of their single prefix
-       shingles. The boundary is where the estimated costs of both are least.
+       prefix shingles have no partner and go no further. A shingle that two sets
+       of a batch have is known to repeat; two of its owners go on to meet those
+       of other batches, so a bucket holds two entries a batch of any shingle.
+    2. Shingles of the rest are counted and ordered by frequency, rare first and
+       common ones last. Sets up to a boundary enumerate the 2-subsets of their
+       prefix; larger ones, and those near the boundary, scan the lists of their
+       single prefix shingles. The boundary is where the estimated costs of both
+       are least (`boundary_of`), unless one is given.
     3. Each list links to its centre; the pairs are measured on whole sets. Then
        pairs of a list from different components are verified, if their overlaps
        with the list's centre and their singles leave the threshold within reach.
@@ -102,7 +137,8 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(s1), pa.array(s2)], names=["_id", "n", "s1", "s2"])
 
     sets = stage.write(docs.mapInArrow(describe, "_id long, n long, s1 long, s2 long"), "sets")
-    reps = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep"))
+    # written, so that the join deals out anew the copies of a set
+    reps = stage.write(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep")), "reps")
     members = sets.join(reps, ["n", "s1", "s2"], "left").select("_id", "n", F.coalesce("rep", "_id").alias("rep"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, math.ceil(total * 0.2 / BUCKET))
@@ -118,26 +154,37 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
                 at = np.repeat(first[:-1] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
                 tokens.append(h[at])
                 owners.append(np.repeat(s1, reach))
-            if tokens:
-                h, own = np.concatenate(tokens), np.concatenate(owners)
-                order = np.lexsort((own, h))
-                h, own = h[order], own[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])) if len(h) else np.zeros(0, bool)
-                yield _packed((mix(h[new]) % np.uint64(buckets)).astype(np.int64), {"h": h[new], "own": own[new]})
+            if not tokens:
+                continue
+            h, own = np.concatenate(tokens), np.concatenate(owners)
+            order = np.lexsort((own, h))
+            h, own = h[order], own[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])) if len(h) else np.zeros(0, bool)
+            h, own = h[new], own[new]
+            lead = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            size = np.diff(np.append(lead, len(h)))
+            # owners of a shingle that repeats here are counted at once; the first two speak for it elsewhere
+            used, count = np.unique(own[np.repeat(size > 1, size)], return_counts=True)
+            yield _packed((used % buckets).astype(np.int64), {"h": used, "own": count.astype(np.int64), "told": np.full(len(used), 2, np.uint8)})
+            at = np.sort(np.concatenate([lead, lead[size > 1] + 1]))
+            told = np.repeat(size > 1, np.minimum(size, 2)).astype(np.uint8)
+            yield _packed((mix(h[at]) % np.uint64(buckets)).astype(np.int64), {"h": h[at], "own": own[at], "told": told})
 
     def repeated(table):
-        h, own = _column(table, "h", np.uint64), _column(table, "own", np.int64)
-        order = np.lexsort((own, h))
-        h, own = h[order], own[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))
-        h, own = h[new], own[new]
-        twice = np.zeros(len(h), bool)
-        twice[1:] |= h[1:] == h[:-1]
-        twice[:-1] |= h[1:] == h[:-1]
-        used, count = np.unique(own[twice], return_counts=True)
-        return pa.table({"s1": used, "c": count.astype(np.int64)})
-
-    shared = docs.mapInArrow(send, "bucket int, h binary, own binary").groupBy("bucket").applyInArrow(repeated, "s1 long, c long")
+        h, own, told = _column(table, "h", np.uint64), _column(table, "own", np.int64), _column(table, "told", np.uint8)
+        done, counts = h[told == 2].view(np.int64), own[told == 2]
+        h, own, told = h[told < 2], own[told < 2], told[told < 2]
+        order = np.lexsort((told, own, h))
+        h, own, told = h[order], own[order], told[order] > 0
+        new = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])) if len(h) else np.zeros(0, bool)
+        h, own, told = h[new], own[new], told[new]
+        lead = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.append(lead, len(h)))
+        used, count = np.unique(own[np.repeat(size > 1, size) & ~told], return_counts=True)
+        return pa.table({"s1": np.concatenate([used, done]), "c": np.concatenate([count, counts]).astype(np.int64)})
+
+    # copies of a set in several batches may count a shingle more than once, which only lets more sets go on
+    shared = docs.mapInArrow(send, "bucket int, h binary, own binary, told binary").groupBy("bucket").applyInArrow(repeated, "s1 long, c long")
     shared = shared.groupBy("s1").agg(F.sum("c").alias("c"))
     alive = reps.join(shared, "s1").where(F.col("c") >= F.greatest(F.lit(1), F.expr("n div 20"))).select(F.col("rep").alias("_id"))
     alive = stage.write(alive, "alive")
@@ -154,14 +201,35 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
     n_full, held = full.agg(F.count("*"), F.sum("n")).first()
     parts, groups = max(16, math.ceil((held or 0) / BUCKET)), max(8, n_full // GROUP)
 
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, _ in pieces(batch, "h", 1 << 24):
+                h, count = np.unique(buf.view(np.uint64), return_counts=True)
+                often = count >= max(2, part.num_rows // SHARE)
+                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often])], names=["key", "c"])
+
+    # at most SHARE times the mean size of a set, eight bytes each
+    above = max(COMMON, n_full // SHARE)
+    seen = full.select("h").mapInArrow(frequent, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > above)
+    common = np.sort(np.array([r.key for r in seen.select("key").collect()], np.int64).view(np.uint64))
+
+    def is_common(h: np.ndarray) -> np.ndarray:
+        return common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
-                h = np.concatenate(raw)
-                rep = np.repeat(ids_of(part, "rep"), [len(x) for x in raw])
-                yield _packed((mix(h) % np.uint64(parts)).astype(np.int64), {"h": h, "rep": rep})
+            for part, buf, off in pieces(batch, "h", 1 << 23):
+                h, rep = buf.view(np.uint64), np.repeat(ids_of(part, "rep"), np.diff(off) // 8)
+                last = is_common(h)
+                yield _packed((mix(h[~last]) % np.uint64(parts)).astype(np.int64), {"h": h[~last], "rep": rep[~last]})
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in pieces(batch, "h", 1 << 23):
+                h, rep = buf.view(np.uint64), np.repeat(ids_of(part, "rep"), np.diff(off) // 8)
+                last = is_common(h)
+                packed = _packed(mix(rep[last].view(np.uint64)).view(np.int64) % groups, {"h": h[last], "rep": rep[last], "df": np.full(last.sum(), 1 << 40, np.int64)})
+                yield packed.rename_columns(["part", "h", "rep", "df"])
 
     def frequencies(table):
         h, rep = _column(table, "h", np.uint64), _column(table, "rep", np.int64)
@@ -179,7 +247,7 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
 
     def order(left, right):
         """For each set of a group: the singles it has, and its repeated shingles by frequency up to the 2-prefix."""
-        out = {c: [] for c in ("rep", "n", "single", "h", "reach", "subsets", "scan")}
+        out = {c: [] for c in ("rep", "n", "single", "h", "reach", "subsets")}
         if len(left) and len(right):
             h, rep, df = _column(left, "h", np.uint64), _column(left, "rep", np.int64), _column(left, "df", np.int64)
             at = np.lexsort((h, df, rep))
@@ -192,47 +260,49 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
                 keep = n - int(_overlap(np.array([n]), percent)[0]) + 2 - single
                 if keep > 1:
                     m = min(keep, int(hi - lo))
-                    row = (r, n, single, h[lo : lo + m].tobytes(), keep - 1, m * (m - 1) // 2, int(df[lo : lo + keep - 1].sum()))
+                    row = (r, n, single, h[lo : lo + m].tobytes(), keep - 1, m * (m - 1) // 2)
                     for c, x in zip(out, row, strict=True):
                         out[c].append(x)
         return pa.table({c: pa.array(x, pa.binary() if c == "h" else pa.int64()) for c, x in out.items()})
 
     lists = full.mapInArrow(tokens, "bucket int, h binary, rep binary").groupBy("bucket").applyInArrow(frequencies, "part int, h binary, rep binary, df binary")
+    if len(common):
+        lists = lists.unionByName(full.mapInArrow(ends, "part int, h binary, rep binary, df binary"))
     part = F.pmod("m", F.lit(groups)).cast("int").alias("part")
-    ranked = lists.groupBy("part").cogroup(full.select(part, "rep", "n").groupBy("part")).applyInArrow(order, "rep long, n long, single long, h binary, reach long, subsets long, scan long")
+    ranked = lists.groupBy("part").cogroup(full.select(part, "rep", "n").groupBy("part")).applyInArrow(order, "rep long, n long, single long, h binary, reach long, subsets long")
     ranked = stage.write(ranked, "ranked")
-    # cost of either way by size class; the boundary with the least sum is taken
-    classes = ranked.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("k")).agg(F.sum("subsets").alias("subsets"), F.sum("scan").alias("scan")).orderBy("k").collect()
-    options = [(sum(c.subsets for c in classes[:i]) + sum(c.scan for c in classes[max(0, i - 1) :]), i) for i in range(len(classes) + 1)]
-    best = min(options)[1] if options else 0
-    boundary = int(2 ** ((classes[best - 1].k + 1) / 4)) if best else 1
+    k = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("k")
+    boundary = boundary_of(ranked.groupBy(k).agg(F.sum("subsets").alias("subsets"), F.sum(F.least("reach", F.length("h") / 8)).alias("reach"), F.sum("n").alias("shingles")).orderBy("k").collect(), boundary)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "kind", "pos", "rep", "n", "single"]
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, (n, single, raw, reach) in enumerate(zip(ids_of(batch, "n"), ids_of(batch, "single"), batch.column(3).to_pylist(), ids_of(batch, "reach"), strict=True)):
-                h = np.frombuffer(raw, np.uint64)
+            out, held = [], 0
+            for rep, n, single, raw, reach in zip(ids_of(batch, "rep").tolist(), ids_of(batch, "n").tolist(), ids_of(batch, "single").tolist(), batch.column(3), ids_of(batch, "reach").tolist(), strict=True):
+                h = np.frombuffer(raw.as_buffer(), np.uint64)
                 if n <= boundary:
-                    a, b = np.triu_indices(len(h), 1)
-                    low, high = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
-                    out[0].append(mix(low + mix(high)).view(np.int64))
-                    out[1].append(np.zeros(len(a), np.int8))
-                    out[2].append(np.full(len(a), i))
-                    out[3].append(single + b)
+                    for b in range(1, len(h)):
+                        low, high = np.minimum(h[:b], h[b]), np.maximum(h[:b], h[b])
+                        out.append((mix(low + mix(high)).view(np.int64), 0, np.full(b, single + b), rep, n, single))
+                        held += b
+                        if held >= YIELD:
+                            yield _keys(out, names)
+                            out, held = [], 0
                 if 100 * n >= percent * boundary:
                     one = h[:reach]
-                    out[0].append(one.view(np.int64))
-                    out[1].append(np.ones(len(one), np.int8))
-                    out[2].append(np.full(len(one), i))
-                    out[3].append(single + np.arange(len(one)))
-            if out[0]:
-                key, kind, at, pos = (np.concatenate(x) for x in out)
-                cols = [pa.array(key), pa.array(kind), pa.array(pos.astype(np.int32)), *(batch.column(c).take(pa.array(at.astype(np.int64))) for c in (0, 1, 2))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "kind", "pos", "rep", "n", "single"])
+                    out.append((one.view(np.int64), 1, single + np.arange(len(one)), rep, n, single))
+                    held += len(one)
+                if held >= YIELD:
+                    yield _keys(out, names)
+                    out, held = [], 0
+            if out:
+                yield _keys(out, names)
 
     inverted = stage.write(ranked.mapInArrow(keys, "key long, kind byte, pos int, rep long, n long, single long"), "inverted")
     rank = F.struct(F.expr("single * 1000 div n").alias("rank"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("single").alias("asingle"))
+    # centres and open keys are written, so that the joins on them can split a key with many rows
     centres = inverted.groupBy("key", "kind").agg(F.min(rank).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "kind", "c.a", "c.an", "c.asingle")
+    centres = stage.write(centres, "centres")
     can = F.expr(f"{100 + percent} * least(n - single, an - asingle) >= {percent} * (n + an)")
     pairs = inverted.join(centres, ["key", "kind"]).where((F.col("rep") != F.col("a")) & can).select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
 
@@ -258,7 +328,7 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
     at = inverted.join(merged.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     # a row stays where even the smallest set of another component in its list could link to it
     lists_of = at.groupBy("key", "kind").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least_n")).where("x < y")
-    open_keys = lists_of.join(centres.select("key", "kind", F.col("a").alias("centre")), ["key", "kind"])
+    open_keys = stage.write(lists_of.join(centres.select("key", "kind", F.col("a").alias("centre")), ["key", "kind"]), "open")
     hope = F.expr(f"{percent} * (n + least_n) <= {100 + percent} * least(n - single, n - pos + 1 - l.kind)")
     rest = at.alias("l").join(open_keys.alias("r"), F.expr("l.key = r.key and l.kind = r.kind") & hope).select("l.*", "centre")
     again = rest.groupBy("key", "kind").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "kind")
@@ -275,24 +345,27 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) ->
     crossing = rest.join(other, ["key", "kind"]).where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("acomponent")) & can & early & F.coalesce(near, F.lit(True)) & ((F.col("kind") == 0) | (F.col("n") > boundary) | (F.col("an") > boundary)))
     more = crossing.select("a", F.col("rep").alias("b")).distinct()
     more = stage.write(verified(more).where(linked).select("a", "b", "overlap"), "more")
+    stage.drop("alive", "full", "ranked", "inverted", "centres", "merged", "open", "rest")
     return members, links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, boundary: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     Words are lower-cased in A-Z. A document's set has its distinct shingles of
     `width` words; with fewer words the whole sequence is one. Two documents link
     at 100 * intersection >= percent * union; component_id is the smallest doc_id
     that links reach. Null, empty and blank texts have an empty set and are linked
-    with nothing. A null doc_id counts as the smallest and stays null. Repeated
-    rows are copies of one another. Other columns are ignored.
+    with nothing. A null doc_id counts as the smallest and stays null; texts with
+    null ids are documents of their own. Repeated rows are copies of one another.
+    Other columns are ignored. `boundary` sets the largest n that goes by subsets,
+    where the costs shall not choose it; the result is the same.
     """
     rows = identified(docs)
-    members, links = linked_sets(rows, percent, width)
+    members, links = linked_sets(rows, percent, width, boundary)
     parts = connected_components(links, "a", "b").select(F.col("id").alias("rep"), "component")
     out = members.join(parts, "rep", "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", "component_id")})
+    return out.withColumns({c: named(c) for c in ("doc_id", "component_id")})
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

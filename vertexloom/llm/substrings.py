@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, covered, identified, repeated_windows
+from .anchors import covered, identified, named, repeated_windows
 from .common import Stage, pieces, word_hashes, words
 
 WINDOW = 20
@@ -139,7 +139,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(np.diff(total[first])), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     out = rows.join(gone.hint("shuffle_hash"), "_id", "left").select("_id", "text", "spans").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", named("doc_id"))
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:

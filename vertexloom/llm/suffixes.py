@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, covered, identified, repeated_windows
+from .anchors import covered, identified, named, repeated_windows
 from .common import Stage, pieces, prefix_hash, span_hash
 
 WINDOW = 100
@@ -248,7 +248,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = rows.join(gone.hint("shuffle_hash"), "_id", "left").select("_id", "text", "spans").mapInArrow(finish, kind)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", named("doc_id"))
 
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:
