@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir where set; a folder of our own only where it is not."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vertexloom-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, one of our own on a local master, whose executors are threads
+    of one process; on a cluster no folder of the driver can stand for it.
+    """
+    context = spark.sparkContext
+    held = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if held:
+        return held
+    if re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="vertexloom-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a reliable checkpoint: the plan stops growing, and lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
