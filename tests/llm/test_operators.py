@@ -1,28 +1,33 @@
 """The operators on small tables: brute force, nulls, empty texts, ties, repeated rows, empty tables, clashing columns."""
 
+import hashlib
+import re
 import uuid
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from vertexloom.llm import queries
-from vertexloom.llm.decontamination import leaks, without_leaks
+from vertexloom.llm.decontamination import allowed, leaks, without_leaks
 from vertexloom.llm.langid import identify, train
 from vertexloom.llm.common import Stage
 from vertexloom.llm.linear import N_DENSE, averaged_descent, dense_features, feature_table
-from vertexloom.llm.mixing import mix
+from vertexloom.llm.mixing import mix, mixed
 from vertexloom.llm.ngram_join import near_duplicates
-from vertexloom.llm.quality import drawn, quality_scores
-from vertexloom.llm.secrets import redact, scan
+from vertexloom.llm.quality import drawn, quality_scores, without_low
+from vertexloom.llm.secrets import KINDS, find_spans, looks_random, redact, scan
 from vertexloom.llm.substrings import drop_repeats
 from vertexloom.llm.suffixes import drop_repeated_bytes
 from vertexloom.llm.topk import top_products
 from vertexloom.llm.toxicity import toxicity_scores
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, spans string, rank int, size int"
+# The base kinds of secrets as the contract has them, with the group and least length that count.
+PLAIN = [(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)]
 VOCAB = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
 
 
@@ -228,6 +233,175 @@ def test_toxicity_on_held_out_rows(spark):
     assert out.where("(score >= 0.5) <> (toxic = 1)").count() <= 2
 
 
+def duck(sql, **tables):
+    con = duckdb.connect()
+    for name, table in tables.items():
+        con.register(f"_{name}", table)
+        con.execute(f"create view {name} as select * from _{name}")
+    return con.execute(sql).fetchall()
+
+
+def odd_rows(spark):
+    """Null and repeated ids, sources and texts; a long text."""
+    rng = np.random.default_rng(21)
+    say = lambda n: " ".join(rng.choice(VOCAB, n))
+    rows = [(i, say(int(n)), f"s{i % 3}") for i, n in enumerate(rng.integers(0, 400, 60))]
+    rows += [(None, say(50), "s1"), (None, say(70), "s1"), (None, None, "s1"), (None, say(30), None), (7, say(20), "s1"), (7, say(40), "s1"), (7, say(40), None), (8, None, "s2"), (9, "", None), (70, say(9000), "tiny"), (71, "one", "rare"), (71, "one", "rare")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_mix_agrees_with_sql_on_odd_rows(spark, tmp_path):
+    rows, docs = odd_rows(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()["op6_mixing"](spark, str(tmp_path))
+    assert Counter(map(tuple, got.select("doc_id", "size", "source_size", "target", "taken", "n_slots", "first_slot").collect())) == Counter(duck(queries.oracle_sql()["op6_mixing"], documents=docs.toArrow()))
+    assert got.count() == len(rows) and got.where("taken > 3 * size").count() == 0
+    assert Counter(r.taken for r in got.collect()) == Counter(r.taken for r in mix(docs)[1].collect())
+
+
+def test_mix_levels(spark, monkeypatch):
+    """Several levels of parts give the same order as one."""
+    from vertexloom.llm import mixing
+
+    _, docs = odd_rows(spark)
+    want = Counter(map(tuple, mix(docs)[1].select("doc_id", "size", "taken", "first_slot").collect()))
+    monkeypatch.setattr(mixing, "ROWS", 0.001)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    assert Counter(map(tuple, mix(docs)[1].select("doc_id", "size", "taken", "first_slot").collect())) == want
+
+
+def test_mixed_rows_and_clashing_columns(spark):
+    rows, docs = odd_rows(spark)
+    clash = docs.withColumns({"Taken": F.lit("x"), "target": F.lit(1), "_row": F.lit(2), "rank": F.lit(3), "_n": F.lit(4)})
+    out = mixed(clash)
+    assert out.columns == ["doc_id", "text", "source", "_row", "rank", "_n", "size", "target", "taken"]
+    plan = [r for r in mix(docs)[1].collect() if r.taken]
+    assert Counter((r.doc_id, r["size"], r.taken) for r in out.collect()) == Counter((r.doc_id, r["size"], r.taken) for r in plan)
+    assert all(len(brute.words(r.text)) == r["size"] for r in out.collect())
+    assert mixed(clash.limit(0)).count() == 0
+
+
+def test_topk_of_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i % 45, [float(x) for x in rng.normal(size=5)]) for i in range(100)] + [(0, [1.0] * 5), (0, [1.0] * 5), (None, [1.0] * 5), (20, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.queries()["op8_topk"](spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter(duck(queries.oracle_sql()["op8_topk"], embeddings=table.toArrow()))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_topk_by_several_blocks_of_queries(spark, monkeypatch):
+    from vertexloom.llm import topk
+
+    rng = np.random.default_rng(8)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=5)]) for i in range(200)], "vec_id long, embedding array<double>")
+    want = Counter(map(tuple, top_products(table).collect()))
+    monkeypatch.setattr(topk, "QUERY_BYTES", 120)
+    assert Counter(map(tuple, top_products(table).collect())) == want
+
+
+def test_redaction_follows_texts(spark):
+    key = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2"
+    rows = [(1, f"x {key} y", "s1", 5), (1, "nothing here at all to hide in this text", "s1", 6), (None, f"q {key}", "s1", 7), (None, None, "s1", 8), (3, "", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _found int").withColumns({"_text": F.lit("t"), "_t": F.lit("u"), "n_chars": F.length("text").cast("long")})
+    out = {r["_found"]: r for r in redact(docs).collect()}
+    assert [out[i].text for i in range(5, 10)] == ["x <SECRET> y", rows[1][1], "q <SECRET>", None, ""]
+    assert out[5].n_chars == 12 and out[6].n_chars == len(rows[1][1]) and redact(docs).columns == docs.columns
+
+
+def test_secrets_query_agrees_with_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    some = ["AKIA" + "ABCDEFGHIJKLMNOP", "0123456789abcdef" * 2, "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2", "token: " + "Zz9" * 6, "api_key='" + "abc" * 5 + "'", "password = short", "eyJ" + "hbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKK"]
+    rows = [(int(i) if i % 6 else None, " ".join(rng.choice([*VOCAB[:20], *some], 12)), f"s{rng.integers(4)}") for i in range(80)] + [(3, None, "s1"), (4, "", None), (500, "é " * 4000 + some[2], "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.withColumn("found", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    owners, want = {}, []
+    for _, text, source in rows:
+        for *_, value in find_spans(text):
+            owners.setdefault(value, set()).add(source)
+    for i, text, _ in rows:
+        base = [(m.start(), k, m.end()) for k, (pattern, group, least) in enumerate(PLAIN) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+        extra = [(s, k, e) for s, k, e, v in find_spans(text) if k > 2 and len(owners[v]) <= 2 and looks_random(v)]
+        joined = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        want.append((i, *(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + extra)))
+    got = queries.queries()["op4_secrets"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_leaks_query_agrees_with_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    say = lambda n: list(rng.choice(VOCAB, n))
+    items = [say(n) for n in (3, 8, 12, 20, 30)]
+    rows = []
+    for k in range(60):
+        item = list(items[k % 5])
+        for _ in range(k % 4 * allowed(len(item)) // 3):
+            at = int(rng.integers(len(item)))
+            item[at : at + int(rng.integers(2))] = say(int(rng.integers(2)))
+        rows.append((k if k % 9 else None, " ".join(say(15) + (item if k % 3 else []) + say(15)).upper()))
+    rows += [(100, None), (101, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(9, None), (None, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter((r.doc_id, r.item_id, r.edits) for r in queries.queries()["op3_decontamination"](spark, str(tmp_path)).collect())
+    want = Counter()
+    for i, text in rows:
+        for k, item in enumerate(items):
+            n = brute.best_stretch(item, (text or "").lower().split())
+            if n <= allowed(len(item)):
+                want[i, k, n] += 1
+    assert not got - want and sum((want - got).values()) <= 0.05 * sum(want.values())
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    clean = without_leaks(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet")))
+    holds = [any(brute.best_stretch(x, (t or "").lower().split()) <= allowed(len(x)) for x in items) for _, t in rows]
+    assert clean.columns == docs.columns and not set(r.text for r in clean.collect()) & {t for (_, t), h in zip(rows, holds, strict=True) if h and t in found_texts(spark, docs, tmp_path)}
+    assert {t for (_, t), h in zip(rows, holds, strict=True) if not h} <= {r.text for r in clean.collect()}
+
+
+def found_texts(spark, docs, tmp_path):
+    """Texts with ids that the query finds something in."""
+    ids = {r.doc_id for r in queries.queries()["op3_decontamination"](spark, str(tmp_path)).collect()}
+    return {r.text for r in docs.collect() if r.doc_id is not None and r.doc_id in ids}
+
+
+def test_language_of_odd_rows(spark, empty, docs):
+    rows = [(None, "the cat and the dog " * 3, "en"), (None, None, "fr"), (5, "le chien et le chat " * 3, "fr"), (5, "the cat and the dog " * 3, "en"), (6, "the dog " * 30_000, "en"), (7, "le chat " * 3, "fr"), (8, "the cat " * 3, "en")]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "spans": F.lit(1)})
+    got = identify(known, train(known, Stage(spark, "t")))
+    assert Counter(r.lang_pred for r in got.collect()) == {"en": 4, "fr": 2, "und": 1}
+    assert identify(empty, train(docs, Stage(spark, "t"))).count() == 0 and identify(docs, train(docs, Stage(spark, "t"))).count() == len(corpus())
+
+
+def test_classifiers_of_odd_rows(spark, labels, tmp_path):
+    rows = [(None, "fine words here"), (None, None), (5, "x " * 60_000), (5, "stupid idiot moron"), (5, "stupid idiot moron"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(1), "x": F.lit(2), "y": F.lit(3), "fold": F.lit(4), "quality": F.lit(5), "toxic": F.lit(6)})
+    for scores in (quality_scores, toxicity_scores):
+        got = scores(docs, labels).collect()
+        assert len(got) == 6 and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
+    assert without_low(docs, labels, 0.0).columns == docs.columns and without_low(docs, labels, 0.0).count() == 6
+    assert without_low(docs.limit(0), labels, 0.3).count() == 0
+    docs.withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.queries()["op7_language"](spark, str(tmp_path)).where("held_out is null").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    _, docs = odd_rows(spark)
+    docs = docs.withColumns({"n_chars": F.length("text").cast("long"), "_id": F.lit(1), "_h": F.lit(2), "size": F.lit(3), "taken": F.lit(4), "score": F.lit(5)})
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such words anywhere in all of it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, str(tmp_path))
+        if name != "mixing":
+            assert out.columns == docs.columns
+        if name in ("decontamination", "secrets"):
+            assert Counter(map(tuple, out.collect())) == Counter(map(tuple, docs.collect()))
+        if name == "near_duplicates":  # of equal rows one stays
+            assert Counter(map(tuple, out.collect())) == Counter(set(map(tuple, docs.collect())))
+        assert step(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registry():
     names = list(queries.queries())
     assert len(names) == 10 and sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

@@ -222,10 +222,15 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
     return out
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """_id and text; null doc_ids count as the smallest ids, each text by its hash."""
+def id_of() -> F.Column:
+    """The _id of a row: its doc_id; null doc_ids count as the smallest ids, each text by its hash."""
     unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(UNNAMED))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("_id"), "text")
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("_id")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """_id and text."""
+    return docs.select(id_of(), "text")
 
 
 def named(column: str) -> F.Column:
@@ -252,4 +257,4 @@ def covered(batch: pa.RecordBatch, first: np.ndarray, window: int) -> np.ndarray
     return np.cumsum(edge)[:-1] > 0
 
 
-__all__ = ["NO_ID", "covered", "identified", "list_array", "merged", "named", "repeated_windows", "row_of", "segments"]
+__all__ = ["NO_ID", "covered", "id_of", "identified", "list_array", "merged", "named", "repeated_windows", "row_of", "segments"]

@@ -8,7 +8,6 @@ ASCII, so bytes and characters agree on word boundaries.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_dir
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -29,19 +30,6 @@ _POWERS: dict[int, np.ndarray] = {}
 # -- stage tables ------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if held:
-        return held
-    own = tempfile.mkdtemp(prefix="vertexloom-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 class Stage:
     """Tables written to the shared folder by one run of an operator.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, lower_ascii, mix, pieces, prefix_hash, span_hash, word_hashes, words
+from .common import lower_ascii, mix, pieces, prefix_hash, span_hash, word_hashes, words
 
 #: Word edits allowed, as a share of an item's words; words of an item below which only exact copies count.
 EDITS = 0.2
@@ -75,7 +76,12 @@ class Items(NamedTuple):
 
 
 def repetitions(tokens: list[np.ndarray], recall: float) -> int:
-    """Repetitions that reach the recall: items are edited as much as allowed, and their collisions counted."""
+    """Repetitions that reach the recall: items are edited as much as allowed, and their collisions counted.
+
+    The rate of a single repetition counts as 0.01 at least, so a few hundred reach any usual recall.
+    """
+    if not 0 <= recall < 1:
+        raise ValueError("recall must be below 1")
     rng = np.random.default_rng(11)
     pick = [tokens[i] for i in rng.integers(0, len(tokens), 400)]
     other = []
@@ -89,7 +95,7 @@ def repetitions(tokens: list[np.ndarray], recall: float) -> int:
     b, _ = padded([y[: len(x)] for x, y in zip(pick, other, strict=True)])
     length = np.array([min(len(x), len(y)) for x, y in zip(pick, other, strict=True)])
     rate = np.clip(np.mean([sample_keys(a, size, size, r) == sample_keys(b, length, size, r) for r in range(24)], axis=0), 0.01, 0.999)
-    return next((r for r in range(1, 64) if (1 - (1 - rate) ** r).mean() >= recall), 64)
+    return next(r for r in itertools.count(1) if (1 - (1 - rate) ** r).mean() >= recall)
 
 
 def prepare(rows: list[tuple[int, str]], recall: float) -> Items:
@@ -121,25 +127,21 @@ def prepare(rows: list[tuple[int, str]], recall: float) -> Items:
 
 
 def edit_match(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """The stretch of text nearest to the item in word edits: (edits, start, end), first on ties; None above `most`."""
-    n = len(item)
-    cost, begin = list(range(n + 1)), [0] * (n + 1)
-    best = (n + 1, 0, 0)
-    item, text = item.tolist(), text.tolist()
-    for j, w in enumerate(text):
-        diag, diag_begin, up, up_begin = 0, j, 0, j + 1
-        begin[0] = j + 1
-        for i in range(1, n + 1):
-            c, b = diag + (item[i - 1] != w), diag_begin
-            diag, diag_begin = cost[i], begin[i]
-            if diag + 1 < c:
-                c, b = diag + 1, diag_begin
-            if up + 1 < c:
-                c, b = up + 1, up_begin
-            cost[i] = up = c
-            begin[i] = up_begin = b
-        if up < best[0]:
-            best = (up, up_begin, j + 1)
+    """The stretch of text nearest to the item in word edits: (edits, start, end), first on ties; None above `most`.
+
+    One vector step for each word of the text; costs carry the start of their stretch.
+    """
+    n, step = len(item), len(text) + 1
+    ramp = np.arange(n + 1) * step
+    state, best = ramp.copy(), (n + 1, 0, 0)
+    for j in range(len(text)):
+        now = np.empty_like(state)
+        now[0] = j + 1
+        np.minimum(state[:-1] + (item != text[j]) * step, state[1:] + step, out=now[1:])
+        state = np.minimum.accumulate(now - ramp) + ramp
+        cost = int(state[n])
+        if cost // step < best[0]:
+            best = (cost // step, cost % step, j + 1)
     return best if best[0] <= most else None
 
 
@@ -169,8 +171,9 @@ def likely_windows(tokens: np.ndarray, first: np.ndarray, items: Items) -> tuple
             starts.append(np.clip(s, first[r], np.maximum(first[r], first[r + 1] - m)))
             sizes.append(m)
     s, n = np.concatenate(starts), np.concatenate(sizes)
-    both = np.unique(s * 65536 + n) if len(s) else s
-    return both // 65536, both % 65536
+    wide = int(items.size.max(initial=0)) + 1
+    both = np.unique(s * wide + n) if len(s) else s
+    return both // wide, both % wide
 
 
 def find_in(slices: list[tuple[np.ndarray, np.ndarray]], items: Items) -> list[list[tuple[int, int, int, int, int]]]:
@@ -230,6 +233,21 @@ def find_in(slices: list[tuple[np.ndarray, np.ndarray]], items: Items) -> list[l
     return out
 
 
+def found_in(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, int, int]]]]:
+    """Slices of a batch with what they hold; some slices at a time share the walks."""
+    for group in itertools.batched(pieces(batch, "text"), 8):
+        yield from zip((part for part, _, _ in group), find_in([x[1:] for x in group], items), strict=True)
+
+
+def blocks_of_items(benchmark: DataFrame, recall: float) -> Iterator[Items]:
+    """The items in blocks of bounded size, at least one; null ids take no part."""
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    for k in range(blocks):
+        mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select(F.col("item_id").cast("long").alias("item_id"), "text")
+        yield prepare([(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect() if r.item_id is not None], recall)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, start_word, end_word, edits: benchmark items found in documents, the nearest place of each.
 
@@ -246,19 +264,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> Data
     rows of documents give their leaks each, repeated items too. Other columns are
     ignored.
     """
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id long, item_id long, start_word long, end_word long, edits long"
     out = None
-    for k in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select(F.col("item_id").cast("long").alias("item_id"), "text")
-        items = prepare([(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect() if r.item_id is not None], recall)
+    for items in blocks_of_items(benchmark, recall):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                parts = list(pieces(batch, "text"))
-                for (part, _, _), got in zip(parts, find_in([x[1:] for x in parts], items), strict=True):
+                for part, got in found_in(batch, items):
                     row = np.array([g[0] for g in got], np.int64)
                     cols = [part.column(0).take(pa.array(row)), pa.array(items.ids[[g[1] for g in got]] if got else [], pa.int64()), *(pa.array([g[i] for g in got], pa.int64()) for i in (2, 3, 4))]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start_word", "end_word", "edits"])
@@ -268,11 +281,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> Data
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; all columns stay."""
-    stage = Stage(docs.sparkSession, "leaks")
-    bad = stage.write(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "held")
-    return docs.join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
+    """The documents that hold no benchmark item; all columns stay.
+
+    Every row is judged by its own text as it passes, so rows with null or repeated
+    ids are kept or dropped by themselves, and no document is shuffled. Null and
+    empty texts stay; so does everything where the benchmark is empty.
+    """
+    for items in blocks_of_items(benchmark, recall):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, got in found_in(batch, items):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[g[0] for g in got]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

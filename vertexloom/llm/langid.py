@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans
     n_lang = len(model.langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part, _, _ in pieces(whole, "text", 1 << 24)):
             got = [(part, *word_scores(buf, off, model)) for part, buf, off in pieces(batch, "text")] if n_lang else []
             n = batch.num_rows
             pred, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
@@ -192,4 +192,4 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans
 def op7_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, train(docs, Stage(spark, "language")))
-    return out.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return out.select("doc_id", F.coalesce(crc_fold("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -81,17 +81,36 @@ def matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
+CHUNK = 4096
+#: Partitions whose vectors one task of the first round adds.
+FAN_IN = 256
+
+
 def summed(table: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], width: int) -> np.ndarray:
-    """The sum over all partitions of a vector that the kernel makes of each; only `width` sums come to the driver."""
+    """The sum over all partitions of a vector that the kernel makes of each.
+
+    A partition sends packed chunks; they are added in two rounds, in the order of
+    the partitions, so only `width` sums come to the driver and reruns agree.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = kernel(batches)
+        v, part = kernel(batches), TaskContext.get().partitionId()
         if v is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(v, pa.float64())], names=["i", "v"])
+            chunks = [np.ascontiguousarray(v[lo : lo + CHUNK], np.float64).tobytes() for lo in range(0, width, CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([part] * len(chunks), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "part", "v"])
 
+    def add(rows):
+        parts = rows.column("part").to_pylist()
+        held = dict(zip(parts, rows.column("v"), strict=True))
+        total = sum(np.frombuffer(held[p].as_buffer(), np.float64) for p in sorted(held))
+        return pa.table({"chunk": rows.column("chunk")[:1], "part": pa.array([min(parts) // FAN_IN], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "chunk int, part int, v binary"
+    sums = table.mapInArrow(run, kind).groupBy("chunk", F.expr(f"part div {FAN_IN}")).applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
     out = np.zeros(width)
-    for r in table.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r.i] = r.v
+    for r in sums.collect():
+        v = np.frombuffer(r.v, np.float64)
+        out[r.chunk * CHUNK : r.chunk * CHUNK + len(v)] = v
     return out
 
 
@@ -146,14 +165,17 @@ def averaged_descent(table: DataFrame, w: np.ndarray, gradient: Callable[[np.nda
     return w
 
 
+def linear_scores(x: np.ndarray, w: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> np.ndarray:
+    return sigmoid(np.hstack([(x - mean) / dev, np.ones((len(x), 1))]).clip(-8, 8) @ w)
+
+
 def scored(table: DataFrame, w: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> DataFrame:
     """doc_id, held_out, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.hstack([(matrix(b) - mean) / dev, np.ones((b.num_rows, 1))]).clip(-8, 8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids_of(b, "fold") == 0), pa.array(sigmoid(x @ w))], names=["doc_id", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids_of(b, "fold") == 0), pa.array(linear_scores(matrix(b), w, mean, dev))], names=["doc_id", "held_out", "score"])
 
     return table.mapInArrow(run, "doc_id long, held_out boolean, score double")
 

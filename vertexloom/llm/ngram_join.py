@@ -361,15 +361,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS,
     Other columns are ignored. `boundary` sets the largest n that goes by subsets,
     where the costs shall not choose it; the result is the same.
     """
-    rows = identified(docs)
+    out = grouped(identified(docs), percent, width, boundary)
+    return out.select(named("_id").alias("doc_id"), "n_shingles", named("_component").alias("component_id"))
+
+
+def grouped(rows: DataFrame, percent: int = PERCENT, width: int = WORDS, boundary: int | None = None) -> DataFrame:
+    """_id, n_shingles, _component of every row of (_id, text); see `near_duplicates`."""
     members, links = linked_sets(rows, percent, width, boundary)
     parts = connected_components(links, "a", "b").select(F.col("id").alias("rep"), "component")
-    out = members.join(parts, "rep", "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumns({c: named(c) for c in ("doc_id", "component_id")})
+    parts = Stage(rows.sparkSession, "groups").write(parts, "parts")  # so that the join can split the copies of a set
+    return members.join(parts, "rep", "left").select("_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("_component"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-__all__ = ["linked_sets", "near_duplicates", "op1_ngram_join", "shingle_sets"]
+__all__ = ["grouped", "linked_sets", "near_duplicates", "op1_ngram_join", "shingle_sets"]

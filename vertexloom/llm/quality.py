@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, ids_of
-from .linear import N_DENSE, averaged_descent, dense_features, feature_table, labelled, matrix, moments, scored, sigmoid, summed
+from .common import Stage, pieces
+from .linear import N_DENSE, averaged_descent, dense_features, feature_table, labelled, linear_scores, matrix, moments, scored, sigmoid, summed
 
 #: At most so many labelled rows are read for fitting; their positives stand for the trusted class.
 LABELLED_ROWS = 20_000
@@ -35,8 +39,15 @@ def drawn(pos: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
     return pos[rng.integers(0, len(pos), most)] if len(pos) > most else pos
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, rounds: int = 6) -> DataFrame:
-    """doc_id, held_out, score of every document.
+class Fitted(NamedTuple):
+    table: DataFrame  # doc_id, fold, x of every document
+    weights: np.ndarray
+    mean: np.ndarray
+    dev: np.ndarray
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, rounds: int = 6) -> Fitted:
+    """The classifier and the features it was fitted on.
 
     Trusted positives are training rows labelled 1 (at most `bound` labelled rows
     are read). All documents are the unlabelled sample. A first model separates
@@ -45,9 +56,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROW
     ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` under the logistic loss.
     Labels of 0 are not used.
 
-    Null and empty texts get a score from their (zero) features. Repeated rows
-    are scored each. Without positives every score is 0.5; an empty table gives
-    no rows. Other columns are ignored.
+    Without positives all weights are 0, so every score is 0.5.
     """
     stage = Stage(docs.sparkSession, "quality")
     table = stage.write(feature_table(docs, dense_features), "features")
@@ -85,7 +94,35 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROW
             return plus + (minus if rest >= 0 else -minus) + 1e-3 * v
 
         w = averaged_descent(table, w, risk, rounds, 0.05, mean, dev)
-    return scored(table, w, mean, dev)
+    return Fitted(table, w, mean, dev)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, rounds: int = 6) -> DataFrame:
+    """doc_id, held_out, score of every document, by `fit_quality`.
+
+    Null and empty texts get a score from their (zero) features. Rows with repeated
+    or null ids are scored each; a null id is not held out. Without positives every
+    score is 0.5; an empty table gives no rows. Other columns are ignored.
+    """
+    return scored(*fit_quality(docs, labels, bound, rounds))
+
+
+def without_low(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The documents that score `least` or more; all columns stay.
+
+    Every row is judged by its own text as it passes, so null and repeated ids do
+    not matter, columns may have any names, and no document is shuffled.
+    """
+    _, w, mean, dev = fit_quality(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in pieces(batch, "text"):
+                yield part.filter(pa.array(linear_scores(dense_features(buf, off).astype(np.float32), w, mean, dev) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def _joined(spans: list[tuple[int, int, int, str]]) -> str:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("random", pa.bool_())])
-_SCHEMA = "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:long,random:boolean>>"
+_SCHEMA = "doc_id long, repo string, owner string, _text string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:long,random:boolean>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [[{"start": s, "kind": k, "end": e, "hash": int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True), "random": looks_random(v)} for s, k, e, v in r] for r in rows]
             counts = [pa.array([sum(x[1] == k for x in r) for r in base], pa.int64()) for k in range(3)]
             sha = [hashlib.sha256(_joined(r).encode()).hexdigest() for r in base]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *counts, pa.array(sha), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(4), *counts, pa.array(sha), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "repo", "owner", "_text", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
 
 def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
@@ -85,22 +85,30 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owner
     and it looks generated. `weak`: the rest. The corpus has no repository column;
     by default a document stands for one and its source for the owner.
 
-    Null and empty texts have no spans. Null owners count as one owner. Repeated
-    rows are scanned each. Other columns are ignored.
+    Null and empty texts have no spans. Null owners count as one owner, null
+    repositories as one repository. Rows with null or repeated ids are scanned
+    each and keep verdicts of their own. Other columns are ignored; an empty table
+    gives no rows.
     """
+    return _verdicts(docs, repo, owner, max_owners).drop("_text")
+
+
+def _verdicts(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
+    """The columns of `scan`, and _text: the md5 of the text."""
     stage = Stage(docs.sparkSession, "secrets")
-    text = F.col("text")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), text).mapInArrow(_scan, _SCHEMA)
-    rows = stage.write(rows, "scan")
-    cand = rows.select("repo", "owner", F.explode("found").alias("f")).select("repo", F.coalesce("owner", F.lit("")).alias("owner"), F.col("f.hash").alias("hash"), F.col("f.random").alias("random"))
+    owned = F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("")).alias("owner")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(repo).cast("string").alias("repo"), owned, "text", F.md5(F.col("text").cast("binary")).alias("_text")).mapInArrow(_scan, _SCHEMA)
+    rows = stage.write(rows.withColumn("_row", F.monotonically_increasing_id()), "scan")
+    cand = rows.select("repo", "owner", F.explode("found").alias("f")).select("repo", "owner", F.col("f.hash").alias("hash"), F.col("f.random").alias("random"))
     by_owner = cand.groupBy("hash", "random", "owner").agg(F.count("*").alias("n"))
     owners = by_owner.groupBy("hash", "random").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_found"))
     repos = cand.groupBy("hash", "repo").agg(F.lit(1).alias("_one")).groupBy("hash").agg(F.count("*").alias("n_repos"))
     verdict = owners.join(repos, "hash").select("hash", "n_owners", "n_repos", F.when(F.col("n_owners") > max_owners, "copied").when(F.col("random"), "live").otherwise("weak").alias("verdict"))
-    held = rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", F.col("f.hash").alias("hash")).join(verdict, "hash")
-    per = held.groupBy("doc_id").agg(F.collect_set(F.struct("hash", "verdict")).alias("verdicts"))
-    out = rows.join(per, "doc_id", "left").withColumn("verdicts", F.map_from_entries(F.coalesce("verdicts", F.expr("array()").cast("array<struct<hash:bigint,verdict:string>>"))))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.transform("found", lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end"), f["hash"].alias("hash"), F.element_at("verdicts", f["hash"]).alias("verdict"))).alias("found"))
+    verdict = stage.write(verdict, "verdicts")  # so that the join can split a value with many rows
+    held = rows.select("_row", F.explode("found").alias("f")).select("_row", F.col("f.hash").alias("hash")).join(verdict, "hash")
+    per = held.groupBy("_row").agg(F.collect_set(F.struct("hash", "verdict")).alias("verdicts"))
+    out = rows.join(per, "_row", "left").withColumn("verdicts", F.map_from_entries(F.coalesce("verdicts", F.expr("array()").cast("array<struct<hash:bigint,verdict:string>>"))))
+    return out.select("doc_id", "_text", "n_assign", "n_access", "n_hex", "base_sha256", F.transform("found", lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end"), f["hash"].alias("hash"), F.element_at("verdicts", f["hash"]).alias("verdict"))).alias("found"))
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
@@ -122,30 +130,38 @@ def _redact(found: list[dict] | None, text: str) -> str:
 
 
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans are the last column; the others keep their names and places."""
     for batch in batches:
-        names = batch.schema.names
-        found, texts = batch.column(names.index("_found")).to_pylist(), batch.column(names.index("text"))
-        cols = {n: batch.column(n) for n in names if n != "_found"}
-        hit = [i for i, f in enumerate(found) if f]
+        names = batch.schema.names[:-1]
+        found, cols = batch.column(len(names)), [batch.column(i) for i in range(len(names))]
+        hit = [i for i, n in enumerate(found.value_lengths().to_pylist()) if n]
         if hit:
-            new = texts.to_pylist()
+            at = names.index("text")
+            new = cols[at].to_pylist()
             for i in hit:
-                new[i] = _redact(found[i], new[i] or "")
-            cols["text"] = pa.array(new, texts.type)
-            if "n_chars" in cols:
-                sizes = cols["n_chars"].to_pylist()
+                new[i] = _redact(found[i].as_py(), new[i] or "")
+            cols[at] = pa.array(new, cols[at].type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                sizes = cols[at].to_pylist()
                 for i in hit:
                     sizes[i] = len(new[i])
-                cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
-        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+                cols[at] = pa.array(sizes, cols[at].type)
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each live secret's span replaced by ``<SECRET>``; all rows and columns stay.
 
-    n_chars, where there is one, follows the text. Rows that repeat a doc_id with
-    another text would share spans, so ids are expected to name one text.
+    n_chars, where there is one, follows the text. Spans come back to the texts they
+    were found in, by the md5 of the text, so rows with null or repeated ids lose
+    their own secrets and nothing else. Null and empty texts are unchanged. Columns
+    of any name may be there; an empty table gives no rows.
     """
-    live = scan(docs).select("doc_id", F.filter("found", lambda f: f["verdict"] == "live").alias("_found")).where("size(_found) > 0 and doc_id is not null").dropDuplicates(["doc_id"])
-    joined = docs.join(live.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_found")
-    return joined.mapInArrow(_redact_batches, docs.schema)
+    live = _verdicts(docs).select("_text", F.filter("found", lambda f: f["verdict"] == "live").alias("_found"))
+    live = live.where("size(_found) > 0").groupBy("_text").agg(F.first("_found").alias("_found"))
+    live = Stage(docs.sparkSession, "redact").write(live, "live").select(F.col("_text").alias("_l"), F.col("_found").alias("_f"))
+    left = docs.select(F.struct(*docs.columns).alias("_d"), F.md5(F.col("text").cast("binary")).alias("_t"))
+    joined = left.join(live.hint("shuffle_hash"), F.col("_t") == F.col("_l"), "left")
+    spans = "_" * (1 + max(map(len, docs.columns)))  # a name that no column of the documents has
+    return joined.select(*[F.col("_d").getField(c).alias(c) for c in docs.columns], F.col("_f").alias(spans)).mapInArrow(_redact_batches, docs.schema)

@@ -194,7 +194,7 @@ def array_matches(payloads: list[bytes], window: int) -> tuple[np.ndarray, np.nd
     t[first + size] = 1  # between sequences
     t[-1] = 0
     sa = suffix_array(t, 258)
-    prefix = common_prefixes(t, sa, first, 255)
+    prefix = common_prefixes(t, sa, first, int(size.max()) + 1)
     owner = np.repeat(np.arange(len(size)), size + 1)
     rest = np.append((first + size)[owner] - np.arange(len(owner)), 0)
     full = rest >= window

@@ -86,7 +86,7 @@ def mine_voters(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS,
     """The seed lexicon, then the word patterns that go with label 1 most clearly."""
     known = labelled(labels, "toxic", bound)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(crc_fold("doc_id") != 0)
-    rows = text.join(known, "doc_id").select("y", "text")
+    rows = text.join(F.broadcast(known), "doc_id").select("y", "text")  # at most `bound` ids
     base = known.agg(F.avg("y"), F.sum("y"), F.count("*")).first()
     rate, n_pos, n_all = float(base[0] or 0), float(base[1] or 0), float(base[2] or 0)
     chosen = {(pattern_of(w), 1): (0.05, 0.0005) for w in LEXICON}
@@ -177,7 +177,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_RO
     """doc_id, held_out, score of every document.
 
     Voters are a seed lexicon and word patterns mined from at most `bound`
-    training rows. A generative label model learns each voter's accuracy and the
+    training rows: at most VOTERS of them, those that go with label 1 most clearly
+    (a family of patterns that count the same rows is one). A generative label model learns each voter's accuracy and the
     voters' correlations from the votes of all documents; a linear classifier over
     votes and shape features is fitted to its posteriors.
 
