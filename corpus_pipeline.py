@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's docs. All but the last return the columns of
 `documents`; the last adds size, target and taken. An empty table passes through.
+Stages judge rows by their texts, so null ids stay rows of their own; columns
+beside doc_id, text, source and n_chars pass through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,11 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm.anchors import id_of, identified
 from vertexloom.llm.common import Stage
 from vertexloom.llm.decontamination import without_leaks
-from vertexloom.llm.mixing import mix
-from vertexloom.llm.ngram_join import near_duplicates
-from vertexloom.llm.quality import quality_scores
+from vertexloom.llm.mixing import mixed
+from vertexloom.llm.ngram_join import grouped
+from vertexloom.llm.quality import without_low
 from vertexloom.llm.secrets import redact
 
 #: A document below this score is rejected.
@@ -26,34 +29,37 @@ SHINGLE, PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier does not reject."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scores.where(F.col("score") < LEAST_QUALITY).select("doc_id")
-    return docs.join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that the quality classifier does not reject; null and empty texts are judged by their zero features."""
+    return without_low(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), LEAST_QUALITY)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows that repeat an id, one."""
-    groups = near_duplicates(docs, PERCENT, SHINGLE)
-    first = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    out = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates.
+
+    Null ids count as the smallest, each text as a document of its own. Of equal
+    rows one stays; null and empty texts are in no group.
+    """
+    rows = identified(docs)
+    first = grouped(rows, PERCENT, SHINGLE).where("_id = _component").select(F.col("_id").alias("_f")).distinct()
+    first = Stage(spark, "firsts").write(first, "ids")
+    named = docs.select(F.struct(*docs.columns).alias("_d"), id_of(), F.xxhash64("text").alias("_h"))
+    kept = named.join(first.hint("shuffle_hash"), F.col("_id") == F.col("_f"), "left_semi").dropDuplicates(["_id", "_h"])
+    return kept.select(*[F.col("_d").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item; null and empty texts hold none."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live secrets replaced."""
+    """All documents, with live secrets replaced in the texts they were found in."""
     return redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words from, with size, target (of the source) and taken."""
-    plan = mix(docs)[1].where("taken > 0").select("doc_id", "size", "target", "taken")
-    return docs.join(plan, "doc_id")
+    """The documents that the mix takes words from, with size, target (of the source) and taken; null and empty texts have none."""
+    return mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
