@@ -108,10 +108,12 @@ def test_substrings(docs, empty):
     assert drop_repeats(empty).count() == 0
 
 
-def test_hot_anchors_are_split(docs, monkeypatch):
+@pytest.mark.parametrize("often", [1, 3, 10**6])
+def test_hot_anchors_are_split(docs, often, monkeypatch):
     from vertexloom.llm import anchors
 
     monkeypatch.setattr(anchors.repeated_windows, "__defaults__", (2,))
+    monkeypatch.setattr(anchors, "OFTEN", often)
     assert by_id(drop_repeats(docs), "n_words", "n_removed") == {i: r[:2] for i, r in brute.substrings(corpus()).items()}
     assert by_id(drop_repeated_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(corpus())
 

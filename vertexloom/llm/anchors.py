@@ -7,7 +7,8 @@ equal places. Consecutive windows with one anchor form a segment.
 0. Of documents with equal texts only the first goes on: all windows of the others
    start earlier in it.
 1. Every document sends its anchors' hashes to buckets; a bucket keeps those that
-   occur twice. A window whose anchor occurs once is unique.
+   occur twice. A window whose anchor occurs once is unique. Of an anchor frequent
+   enough in a batch to be hot in the corpus, the batch sends one mark.
 2. Documents with repeated anchors cut out the segments around them. Within a
    batch, a segment's later copies are known to repeat; only its first goes on.
 3. Segments meet by anchor in shards of bounded size, where a matcher (suffix
@@ -37,6 +38,10 @@ NO_ID, UNNAMED = -(1 << 63), 1 << 48
 #: The end of a span that covers a whole copy.
 WHOLE = 1 << 40
 HOT = 8192
+#: An anchor with as many occurrences in a batch, if they are also the batch's share of HOT, is hot.
+OFTEN = 8
+#: Places that stand for a hot anchor's mark, and for a text that knows of it; the count of a hot anchor.
+MARK, KNOWN, ALWAYS = -1, -2, 1 << 30
 #: Segments to a shard.
 SHARD = 8000
 
@@ -118,7 +123,7 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
     text = stage.write(docs.select("_id", F.xxhash64("text").alias("t"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("n")), "texts")
     firsts = stage.write(text.groupBy("t", "c", "n").agg(F.min("_id").alias("_id")), "firsts")
     copies = text.alias("x").join(firsts.alias("y"), ["t", "c", "n"]).where("x._id <> y._id").select("x._id")
-    n_docs = firsts.count()
+    n_docs = max(1, firsts.count())
     buckets = max(32, n_docs // 1000)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +142,18 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
                 # copies of a text say nothing new
                 new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])) if len(h) else np.zeros(0, bool)
                 h, doc, start = h[new], doc[new], start[new].astype(np.int32)
-                bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
+                lead = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                size = np.diff(np.append(lead, len(h)))
+                often = size >= max(OFTEN, -(-hot * batch.num_rows // n_docs))
+                # an anchor this frequent here is hot everywhere: its texts know already, and one mark tells the bucket
+                told = np.repeat(often, size)
+                known = np.flatnonzero(told & np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else lead
+                mark = lead[often]
+                at = np.concatenate([np.flatnonzero(~told), mark, known])
+                flag = np.repeat([0, MARK, KNOWN], [len(h) - told.sum(), len(mark), len(known)])
+                start = np.where(flag == 0, start[at], flag).astype(np.int32)
+                h, doc = h[at], doc[at]
+                bucket = (np.where(flag == KNOWN, doc.view(np.uint64), mix(h)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 used, at = np.unique(bucket[order], return_index=True)
                 first = np.append(at, len(order))
@@ -147,15 +163,19 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
         h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("h")])
         doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("doc")])
         start = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("start")])
+        mine = start == KNOWN
+        marks, done = np.unique(h[start == MARK]), (doc[mine], h[mine])
+        h, doc, start = (x[start >= 0] for x in (h, doc, start))
         order = np.lexsort((start, doc, h))
         h, doc, start = h[order], doc[order], start[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+        new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])) if len(h) else np.zeros(0, bool)
         h, doc = h[new], doc[new]
-        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        n = np.diff(np.append(at, len(h)))
-        n = np.repeat(n, n)
-        once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) & (n > 1)
-        return pa.table({"t": doc[once], "h": h[once].view(np.int64), "n": np.minimum(n[once], 1 << 30).astype(np.int32)})
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(h)))
+        n = np.repeat(np.where(np.isin(h[at], marks), ALWAYS, np.minimum(size, ALWAYS)), size)
+        once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) & (n > 1) if len(h) else np.zeros(0, bool)
+        n = np.concatenate([n[once], np.full(len(done[0]), ALWAYS)]).astype(np.int32)
+        return pa.table({"t": np.concatenate([doc[once], done[0]]), "h": np.concatenate([h[once], done[1]]).view(np.int64), "n": n})
 
     held = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(send, "bucket int, h binary, doc binary, start binary").groupBy("bucket").applyInArrow(keep, "t long, h long, n int")
     lists = stage.write(held.join(firsts.select("t", "_id"), "t").groupBy("_id").agg(F.collect_list(F.struct("h", "n")).alias("anchors")), "anchors")
