@@ -238,14 +238,14 @@ def test_strong_components_and_circles_of_all_edges(spark, tmp_path):
     ids, edges = _user_tables(spark, tmp_path)
     reach = _reach(ids, edges)
     want = {a: min(b for b in ids if a in reach[b] and b in reach[a]) for a in ids}
-    assert as_dict(catalog.QUERIES["scc_whole"](spark, str(tmp_path))) == want
+    assert as_dict(catalog.QUERIES["scc"](spark, str(tmp_path))) == want
     lines = {}
     for ego in {s % 7 for s, _ in edges}:
         own = [(s, d) for s, d in edges if s % 7 == ego]
         reach = _reach({x for e in own for x in e}, own + [(d, s) for s, d in own])
         circles = sorted({tuple(sorted(r)) for r in reach.values()})
         lines[str(ego)] = ";".join(" ".join(map(str, c)) for c in circles)
-    assert as_dict(catalog.QUERIES["ego_submission_whole"](spark, str(tmp_path))) == lines
+    assert as_dict(catalog.QUERIES["ego_submission"](spark, str(tmp_path))) == lines
 
 
 def test_depths_of_all_flows(spark, tmp_path):
@@ -260,8 +260,8 @@ def test_depths_of_all_flows(spark, tmp_path):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     want = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
-    assert as_dict(catalog.QUERIES["pregel_max_hops_whole"](spark, str(tmp_path))) == want
-    assert as_dict(catalog.QUERIES["propagate_edge_count_whole"](spark, str(tmp_path))) == want
+    assert as_dict(catalog.QUERIES["pregel_max_hops"](spark, str(tmp_path))) == want
+    assert as_dict(catalog.QUERIES["propagate_edge_count"](spark, str(tmp_path))) == want
 
 
 def test_depths_of_a_long_chain(spark):
@@ -289,5 +289,5 @@ def test_topics_train_on_all_terms(spark, tmp_path):
 def test_pairs_of_all_points(spark, tmp_path):
     x = {i: float(i * 11 % 30) for i in range(40)}
     spark.createDataFrame([(i, [y, 0.0], 0) for i, y in x.items()], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = [tuple(r) for r in catalog.QUERIES["all_pairs_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["all_pairs"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in x for b in x if x[a] > x[b]}

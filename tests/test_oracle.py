@@ -10,7 +10,7 @@ from vertexloom import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
-NAMES = ["degree_join", "subgraph_ve", "agg_older_followers", "agg_oldest_follower", "merge_graphs", "rdf_encode", "indexed_put", "sssp_trace", "tsp_greedy", "mst", "pagerank_static_5", "cc_members", "triangles", "lpa5", "knn_exact", "coded_bags", "ego_submission", "string_hash", "collect_neighbors_either"]
+NAMES = sorted(catalog.ORACLES)
 
 
 def cell(x):

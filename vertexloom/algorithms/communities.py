@@ -104,7 +104,7 @@ def _corners(simple: DataFrame, *keys: str) -> DataFrame:
 
 def triangles(graph: PropertyGraph) -> DataFrame:
     """id, triangles of every vertex, of the undirected simple graph."""
-    found = _corners(simple_edges(graph.edges)).select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
+    found = _corners(cut(simple_edges(graph.edges))).select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
     return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
 
 

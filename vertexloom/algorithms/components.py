@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     The rounds grow with the logarithm of the component size, not with the
     diameter. Every aggregation combines on the map side, so a vertex with most of
-    the edges sends one row a task. Self-loops only name their vertex.
+    the edges sends one row a task to it; the join that follows does bring all
+    edges of such a vertex to one task. Self-loops only name their vertex.
     """
     pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     pairs = cut(pairs.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())

@@ -86,23 +86,26 @@ def propagate_edge_count(graph: PropertyGraph, max_iter: int = 1000) -> DataFram
 def greedy_tour(graph: PropertyGraph, origin: int, weight: str = "weight", max_steps: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(vertices: id, visited), (edges with chosen, step): the walk to the nearest vertex not seen yet, over edges in either direction.
 
-    Ties go to the smaller (src, dst). The walk stops where no new vertex is
-    adjacent, and does not return. One small query a step: only the edges at the
+    Ties go to the smaller (src, dst); of parallel edges one is marked. The walk
+    stops where no new vertex is adjacent, and does not return; NotConverged where
+    it could go on after max_steps. One small query a step: only the edges at the
     present vertex are read.
     """
     spark = graph.vertices.sparkSession
-    edges = cut(graph.edges.select("src", "dst", F.col(weight).cast("double").alias("w")))
+    edges = cut(graph.edges.withColumn("_w", F.col(weight).cast("double")).withColumn("_e", F.monotonically_increasing_id()))
     at, seen, chosen = origin, [origin], []
-    for step in range(max_steps):
+    while True:
         near = edges.where(((F.col("src") == at) & ~F.col("dst").isin(seen)) | ((F.col("dst") == at) & ~F.col("src").isin(seen)))
-        best = near.orderBy("w", "src", "dst").limit(1).collect()
+        best = near.select("src", "dst", "_w", "_e").orderBy("_w", "src", "dst", "_e").limit(1).collect()
         if not best:
             break
+        if len(chosen) == max_steps:
+            raise NotConverged(f"the walk goes on after {max_steps} steps")
         edge = best[0]
-        chosen.append((edge.src, edge.dst, step))
+        chosen.append((edge._e, len(chosen)))
         at = edge.dst if edge.src == at else edge.src
         seen.append(at)
-    picked = spark.createDataFrame(chosen, "src long, dst long, step int")
+    picked = spark.createDataFrame(chosen, "_e long, step int")
     visited = graph.vertices.select("id", F.col("id").isin(seen).alias("visited"))
-    marked = graph.edges.join(picked, ["src", "dst"], "left").withColumn("chosen", F.col("step").isNotNull())
+    marked = edges.join(picked, "_e", "left").withColumn("chosen", F.col("step").isNotNull()).drop("_e", "_w")
     return visited, marked

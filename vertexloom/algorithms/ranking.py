@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from ..plans.lineage import cut
+from ..plans.pregel import NotConverged
 
 
 def _step(graph: PropertyGraph, links: DataFrame, ranks: DataFrame, damping: float, source: int | None) -> DataFrame:
@@ -43,12 +44,12 @@ def pagerank_rounds(graph: PropertyGraph, rounds: int, damping: float = 0.85, in
 
 
 def pagerank(graph: PropertyGraph, tol: float = 0.001, damping: float = 0.85, init: float = 1.0, source: int | None = None, max_rounds: int = 200) -> DataFrame:
-    """id, rank: rounds until no rank moves by `tol` or more."""
+    """id, rank: rounds until no rank moves by `tol` or more; NotConverged where one still does after max_rounds."""
     links, ranks = _prepared(graph), cut(_start(graph, init, source))
     for _ in range(max_rounds):
         nxt = cut(_step(graph, links, ranks, damping, source))
         moved = nxt.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = nxt
         if (moved or 0.0) < tol:
-            break
-    return ranks
+            return ranks
+    raise NotConverged(f"ranks still move by {moved} after {max_rounds} rounds")

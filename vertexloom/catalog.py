@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from .functions.vectors import cosine, java_hash, rgb
 from .graph import PropertyGraph
 from .ml import pipelines, recommend
 from .operators import structure
-from .plans.lineage import cut
+from .plans.lineage import shared_dir
 from .plans.pregel import pregel
 from .sources import generators, gexf, readers
 
@@ -338,21 +340,6 @@ def propagate_edge_count(spark, d):
     return paths.propagate_edge_count(v.nation_dag(spark, d))
 
 
-def _whole_dag(spark, d):
-    g = v.nation_flow(spark, d)
-    return PropertyGraph(g.vertices, cut(g.edges.where("src < dst")))
-
-
-@query()
-def pregel_max_hops_whole(spark, d):
-    return paths.max_hops(_whole_dag(spark, d), 30)
-
-
-@query()
-def propagate_edge_count_whole(spark, d):
-    return paths.propagate_edge_count(_whole_dag(spark, d))
-
-
 _TOUR = """, walk(step, here, seen, src, dst) as (select 0, 0::bigint, [0::bigint], null::bigint, null::bigint union all
 select step + 1, case when e.src = here then e.dst else e.src end, list_append(seen, case when e.src = here then e.dst else e.src end), e.src, e.dst from
 (select step, here, seen, arg_min({'src': n.src, 'dst': n.dst}, {'w': weight, 's': n.src, 'd': n.dst}) as e from walk join nation_e n on (n.src = here and not list_contains(seen, n.dst)) or (n.dst = here and not list_contains(seen, n.src)) group by 1, 2, 3))
@@ -435,21 +422,16 @@ def cc_members(spark, d):
     return communities.component_members(labels).select("component", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-_SPARSE_USERS = "event_id % 17 = 0"
-
-
-@query(v.with_views("user_v user_e", f", e as (select distinct src, dst from user_e where {_SPARSE_USERS}), reach(id, r) as (select id, id from user_v union select id, dst from reach join e on r = src) select a.id, min(a.r) as component from reach a join reach b on a.id = b.r and a.r = b.id group by 1", recursive=True))
+@query(
+    v.with_views(
+        "user_v user_e",
+        """, e as (select distinct src, dst from user_e),
+        reach(id, r) as (select id, id from user_v union select id, dst from reach join e on r = src)
+        select a.id, min(a.r) as component from reach a join reach b on a.id = b.r and a.r = b.id group by 1""",
+        recursive=True,
+    )
+)
 def scc(spark, d):
-    g = v.user_flow(spark, d)
-    return communities.strong_components(PropertyGraph(g.vertices, g.edges.where(_SPARSE_USERS)))
-
-
-# `scc`, `ego_submission` and the two DAG queries share a filter on the edges with their SQL; the queries named whole run on
-# all edges of the view and have no SQL; tests hold them against brute force.
-
-
-@query()
-def scc_whole(spark, d):
     return communities.strong_components(v.user_flow(spark, d))
 
 
@@ -458,9 +440,9 @@ def triangles(spark, d):
     return communities.triangles(v.copurchase(spark, d))
 
 
-@query(v.with_views("part_e", ", t as (select x.src // 300 as bucket from part_e x join part_e y on x.dst = y.src join part_e z on z.src = x.src and z.dst = y.dst where x.src // 300 = y.dst // 300) select range as bucket, (3 * (select count(*) from t where bucket = range))::bigint as total from range(7)"))
+@query(v.with_views("part_e", ", t as (select x.src // 300 as bucket from part_e x join part_e y on x.dst = y.src join part_e z on z.src = x.src and z.dst = y.dst where x.src // 300 = y.dst // 300) select range as bucket, (3 * (select count(*) from t where bucket = range))::bigint as total from range((select max(p_partkey) // 300 + 1 from part))"))
 def triangles_bucketed(spark, d):
-    return communities.bucketed_triangles(v.copurchase(spark, d), 300, 7)
+    return communities.bucketed_triangles(v.copurchase(spark, d), 300, 1)
 
 
 @query(v.with_views("part_e", ", t as (select count(*) * 3 as n from part_e x join part_e y on x.dst = y.src join part_e z on z.src = x.src and z.dst = y.dst), g as (select i, count(*) as g from (select src as i from part_e union all select dst from part_e) group by 1), p as (select sum(g * (g - 1) // 2)::bigint as p from g) select n::bigint as triangles, p as triplets, round(n / p, 9) as coefficient from t, p"))
@@ -504,7 +486,17 @@ def knn_approx(spark, d):
     return neighbors.knn_graph_banded(v.points(spark, d), 4).edges.select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@query()
+def _spread(rounds: int) -> str:
+    steps = ["e4 as materialized (select src, dst, w from (select *, row_number() over (partition by src order by w desc, dst) as r from e) where r <= 4)"]
+    steps.append("u as materialized (select src as id, dst as n, w from e4 union all select dst, src, w from e4)")
+    steps.append("l0 as (select id, class_num as label, id in (select src from e4) as fixed from points)")
+    for k in range(rounds):
+        best = f"select u.id, label, row_number() over (partition by u.id order by sum(w) desc, label) as r from u join l{k} m on u.n = m.id where label is not null group by u.id, label"
+        steps.append(f"l{k + 1} as materialized (select l.id, case when (l.label is not null and fixed) or b.label is null then l.label else b.label end as label, fixed from l{k} l left join (select * from ({best}) where r = 1) b on l.id = b.id)")
+    return ", " + ", ".join(steps) + f" select id, label as class_num from l{rounds}"
+
+
+@query(v.with_views("points", _banded() + _spread(10)))
 def ssl_lpa(spark, d):
     return neighbors.propagate_labels(neighbors.knn_graph_banded(v.points(spark, d), 4), max_rounds=10)
 
@@ -560,14 +552,19 @@ def gexf_viz(spark, d):
     return gexf.gexf_viz_nodes(PropertyGraph(v.points(spark, d), v.points(spark, d).select(F.col("id").alias("src"), F.col("id").alias("dst"))), 10.0)
 
 
-@query(v.with_views("user_e", ", u as (select src % 7 as ego, src, dst from user_e where event_id % 11 = 0), b as (select ego, src, dst from u union select ego, dst, src from u), reach(ego, id, r) as (select ego, src, src from b union select reach.ego, id, dst from reach join b on reach.ego = b.ego and r = b.src), c as (select ego, id, min(r) as component from reach group by 1, 2), m as (select ego, component, string_agg(id::varchar, ' ' order by id) as t from c group by 1, 2) select ego::varchar as UserId, string_agg(t, ';' order by component) as Prediction from m group by 1", recursive=True))
+@query(
+    v.with_views(
+        "user_e",
+        """, u as (select distinct src % 7 as ego, src, dst from user_e),
+        b as (select ego, src, dst from u union select ego, dst, src from u),
+        reach(ego, id, r) as (select ego, src, src from b union select reach.ego, id, dst from reach join b on reach.ego = b.ego and r = b.src),
+        c as (select ego, id, min(r) as component from reach group by 1, 2),
+        m as (select ego, component, string_agg(id::varchar, ' ' order by id) as t from c group by 1, 2)
+        select ego::varchar as UserId, string_agg(t, ';' order by component) as Prediction from m group by 1""",
+        recursive=True,
+    )
+)
 def ego_submission(spark, d):
-    edges = v.user_flow(spark, d).edges.where("event_id % 11 = 0").select((F.col("src") % 7).cast("string").alias("ego"), "src", "dst")
-    return gexf.submission(structure.ego_circles(edges))
-
-
-@query()
-def ego_submission_whole(spark, d):
     edges = v.user_flow(spark, d).edges.select((F.col("src") % 7).cast("string").alias("ego"), "src", "dst")
     return gexf.submission(structure.ego_circles(edges))
 
@@ -619,6 +616,111 @@ def checkpointed_iteration(spark, d):
     return structure.iterate_state(g, 6, lambda vertices, edges: vertices.select("id", F.expr("cast((value * 1) div 17 as int)").alias("value")), every=3)
 
 
+# -- files: tables written as text to the shared folder and read back ---------------------
+
+
+def _written(spark, lines: DataFrame, name: str, **options) -> str:
+    """The path of a new text file of the lines (one string column) in the shared folder."""
+    path = f"{shared_dir(spark)}/vertexloom-files-{uuid.uuid4().hex}/{name}"
+    lines.write.options(**options).text(path)
+    return path
+
+
+def _edge_lines(spark, d):
+    lines = v.user_flow(spark, d).edges.select(F.concat_ws(" \t", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value"))
+    return lines.unionByName(spark.createDataFrame([("# src dst",), ("  ",)], "value string"))
+
+
+@query(v.with_views("user_e", "select src, dst, 1 as attr from user_e"))
+def edge_list_file(spark, d):
+    return readers.read_edge_list(spark, _written(spark, _edge_lines(spark, d), "edges.txt")).edges
+
+
+@query(v.with_views("user_e", "select least(src, dst) as src, greatest(src, dst) as dst, 1 as attr from user_e"))
+def edge_list_canonical(spark, d):
+    return readers.read_edge_list(spark, _written(spark, _edge_lines(spark, d), "edges.txt"), canonical=True, partitions=4).edges
+
+
+@query(v.with_views("user_e", "select distinct id, 1 as attr from (select src as id from user_e union all select dst from user_e)"))
+def edge_list_vertices(spark, d):
+    return readers.read_edge_list(spark, _written(spark, _edge_lines(spark, d), "edges.txt")).vertices
+
+
+@query("select c_custkey::bigint as id, c_nationkey % 2 = 1 as feature from customer")
+def feature_file(spark, d):
+    lines = v.table(spark, d, "customer").select(F.concat_ws(" ", F.col("c_custkey").cast("string"), (F.col("c_nationkey") % 2).cast("string"), F.lit("7")).alias("value"))
+    return readers.read_first_feature(spark, _written(spark, lines, "features.txt"))
+
+
+def _distances(spark, d) -> PropertyGraph:
+    g = v.nation_flow(spark, d)
+    names = g.triplets(["name"], ["name"])
+    lines = names.select(F.concat_ws(",", "src_name", "dst_name", F.col("weight").cast("string")).alias("value"))
+    return readers.read_distances(spark, _written(spark, lines, "distances.csv"))
+
+
+_NAMED = """, i as (select name, row_number() over (order by name) - 1 as id from nation_v where id in (select src from nation_e union all select dst from nation_e)),
+named_e as materialized (
+  select a.id as src, b.id as dst, weight
+  from nation_e join nation_v s on src = s.id join nation_v t on dst = t.id join i a on a.name = s.name join i b on b.name = t.name)"""
+
+
+@query(v.with_views("nation_v nation_e", _NAMED + " select src, dst, weight from named_e"))
+def distances_file(spark, d):
+    return _distances(spark, d).edges.select("src", "dst", "weight")
+
+
+@query(v.with_views("nation_v nation_e", _NAMED + " select id, name from i"))
+def distances_vertices(spark, d):
+    return _distances(spark, d).vertices
+
+
+@query(v.with_views("nation_v nation_e", _NAMED + _tree().replace("nation_e", "named_e").replace("select src, dst, weight from r join", ", q as (select src, dst, weight from r join") + """)
+  select src, dst, '      <edge source="' || src || '" target="' || dst || '" label="' || weight::bigint || '" />' as line from q"""))
+def distances_to_tree(spark, d):
+    """Distances from a file, their spanning tree, and the tree's GEXF lines."""
+    g = _distances(spark, d)
+    tree = minimum_spanning_forest(g)
+    return gexf.gexf_edges(PropertyGraph(g.vertices, tree.withColumn("weight", F.col("weight").cast("long"))), "weight")
+
+
+@query(f"with t as ({_TRIPLES}), i as (select value, row_number() over (order by value) - 1 as id from (select subject as value from t union select object from t)) select a.id as src, b.id as dst, predicate from t join i a on subject = a.value join i b on object = b.value")
+def rdf_file(spark, d):
+    lines = _triples(spark, d).select(F.concat_ws("\t", F.lit("k"), "subject", "predicate", "object").alias("value"))
+    return readers.read_rdf(spark, _written(spark, lines, "facts.tsv")).edges.select("src", "dst", "predicate")
+
+
+@query(v.with_views("user_e", "select (src % 7)::varchar as ego, src, dst from user_e union all select 'NO MATCH', 5, 5"))
+def egonet_files(spark, d):
+    """One folder for each ego, named by it; a vertex without neighbours and a file without a number."""
+    edges = v.user_flow(spark, d).edges.select(F.concat((F.col("src") % 7).cast("string"), F.lit(".egonet")).alias("file"), "src", "dst")
+    others = F.array_join(F.collect_list(F.col("dst").cast("string")), " ")
+    lines = edges.groupBy("file", "src").agg(others.alias("others")).select("file", F.concat(F.col("src").cast("string"), F.lit(": "), "others").alias("value"))
+    lines = lines.unionByName(spark.createDataFrame([("plain", "5:")], "file string, value string"))
+    path = f"{shared_dir(spark)}/vertexloom-files-{uuid.uuid4().hex}/nets"
+    lines.write.partitionBy("file").text(path)
+    return readers.read_egonets(spark, path)
+
+
+def _gexf_sql(name: str) -> str:
+    values = ", ".join("('" + line.replace("'", "''") + "')" for part in (gexf.HEAD % "", gexf.MIDDLE, gexf.TAIL) for line in part.rstrip("\n").split("\n"))
+    return f"select line from ({ORACLES['gexf_nodes']}) union all select line from ({ORACLES['gexf_edges']}) union all select * from (values {values}) t({name})"
+
+
+@query(_gexf_sql("line"))
+def gexf_file(spark, d):
+    """The whole document, written as one file and read back."""
+    path = f"{shared_dir(spark)}/vertexloom-files-{uuid.uuid4().hex}/graph.gexf"
+    gexf.write_gexf(v.nation_flow(spark, d).map_edges(weight="cast(weight as bigint)"), path, vertex_label="name", edge_label="weight")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("select ((p_partkey - 1) // 40)::bigint as row, string_agg((p_size % 2)::varchar, '' order by p_partkey) as pixels from part group by 1")
+def image_rows(spark, d):
+    clusters = v.table(spark, d, "part").select((F.col("p_partkey").cast("long") - 1).alias("id"), (F.col("p_size") % 2).alias("cluster"))
+    return gexf.image_rows(clusters, 40).select("row", F.array_join(F.transform("pixels", lambda x: x.cast("string")), "").alias("pixels"))
+
+
 # -- models -------------------------------------------------------------------------
 
 
@@ -633,11 +735,29 @@ def pic(spark, d):
     return pipelines.power_clusters(pipelines.similarity_edges(v.points(spark, d), 0.3, "pos"))
 
 
-@query()
-def logreg_accuracy(spark, d):
+def _augmented(spark, d):
     g = v.trade(spark, d)
     g = g.outer_join_vertices(g.degrees(), bal="bal", degree="coalesce(degree, 0)", label="case when kind = 'supplier' then 1 else 0 end")
-    rows = pipelines.augment(g, pipelines.rank_ratio(g, init=0.15), ["bal", "degree"], "label")
+    return pipelines.augment(g, pipelines.rank_ratio(g, init=0.15), ["bal", "degree"], "label")
+
+
+@query(
+    v.with_views(
+        "trade_v trade_e",
+        _ranks(5, 0.15).replace("user_", "trade_")
+        + """, g as (select id, count(*) as degree from (select src as id from trade_e union all select dst from trade_e) group by 1)
+        select v.id, (case when kind = 'supplier' then 1 else 0 end)::double as label, bal, coalesce(degree, 0)::double as degree, round(r5.rank / r1.rank, 6) as ratio
+        from trade_v v join r5 on v.id = r5.id join r1 on v.id = r1.id left join g on v.id = g.id""",
+    )
+)
+def augmented_rows(spark, d):
+    rows = _augmented(spark, d).withColumn("x", vector_to_array("features"))
+    return rows.select("id", F.col("label").cast("double").alias("label"), F.col("x")[0].alias("bal"), F.col("x")[1].alias("degree"), F.round(F.col("x")[2], 6).alias("ratio"))
+
+
+@query()
+def logreg_accuracy(spark, d):
+    rows = _augmented(spark, d)
     return pipelines.accuracy(rows, pipelines.fit_classifier(rows))
 
 
@@ -657,16 +777,8 @@ def missing_link(spark, d):
     return recommend.missing_link(graph, "lives_in", "Customer#000000001", recommend.Settings(rounds=2))
 
 
-@query(v.with_views("points", "select a.id as src, b.id as dst from points a, points b where a.id < 20 and b.id < 20 and a.id <> b.id and a.pos[1] > b.pos[1]"))
+@query(v.with_views("points", "select a.id as src, b.id as dst from points a, points b where a.id <> b.id and a.pos[1] > b.pos[1]"))
 def all_pairs(spark, d):
-    few = v.points(spark, d).where("id < 20")
-    a, b = few.select(F.col("id").alias("src"), F.col("pos")[0].alias("x")), few.select(F.col("id").alias("dst"), F.col("pos")[0].alias("y"))
-    return a.join(b, (F.col("src") != F.col("dst")) & (F.col("x") > F.col("y"))).select("src", "dst")
-
-
-@query()
-def all_pairs_whole(spark, d):
-    """`all_pairs` of every point, without the filter that it shares with its SQL."""
     p = v.points(spark, d)
     a, b = p.select(F.col("id").alias("src"), F.col("pos")[0].alias("x")), p.select(F.col("id").alias("dst"), F.col("pos")[0].alias("y"))
     return a.join(b, (F.col("src") != F.col("dst")) & (F.col("x") > F.col("y"))).select("src", "dst")

@@ -84,13 +84,19 @@ class PropertyGraph:
         """New edge attributes from expressions over the triplet."""
         return PropertyGraph(self.vertices, self.triplets().select("src", "dst", *[_col(v).alias(k) for k, v in attributes.items()]))
 
+    def _named(self, condition: Column | str) -> tuple[list[str], list[str]]:
+        """The source's and the destination's attributes that a condition over the triplet may name."""
+        text = condition if isinstance(condition, str) else None
+        attrs = [c for c in self.vertices.columns if c != "id"]
+        return tuple([c for c in attrs if text is None or f"{side}_{c}".lower() in text.lower()] for side in ("src", "dst"))
+
     # -- restriction ---------------------------------------------------------
 
     def subgraph(self, vertices: Column | str | None = None, edges: Column | str | None = None) -> PropertyGraph:
         """Vertices that pass, and edges that pass (over the triplet) with both endpoints passing."""
         kept, left = self.vertices, self.edges
         if edges is not None:
-            left = self.triplets().where(_col(edges)).select(*self.edges.columns)
+            left = self.triplets(*self._named(edges)).where(_col(edges)).select(*self.edges.columns)
         if vertices is not None:
             kept = kept.where(_col(vertices))
             ids = kept.select("id")

@@ -40,7 +40,8 @@ class KeyedTable:
         return self.rows.where(F.col(self.key).isin(list(keys)))
 
     def put(self, rows: DataFrame) -> KeyedTable:
-        """Insert, or replace rows of the same key."""
+        """Insert, or replace rows of the same key; of repeated keys in `rows` one goes in."""
+        rows = rows.dropDuplicates([self.key])
         return KeyedTable(self.rows.join(rows.select(self.key), self.key, "left_anti").unionByName(rows), self.key)
 
     def delete(self, keys: DataFrame) -> KeyedTable:

@@ -29,7 +29,7 @@ def pregel(graph: PropertyGraph, state: Mapping[str, Column | str], update: Mapp
     """
     names = list(state)
     vertices = cut(graph.vertices.select("id", *[_col(v).alias(k) for k, v in state.items()], F.lit(True).alias("_a")))
-    edges = graph.edges
+    edges = cut(graph.edges)
     for _ in range(max_iter):
         turn = PropertyGraph(vertices, edges)
         live = PropertyGraph(vertices, turn.triplets().where(ACTIVE[active]))

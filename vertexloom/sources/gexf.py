@@ -9,6 +9,7 @@ from ..graph import PropertyGraph
 
 # Red, green and blue of the classes' colours.
 COLOURS = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 175, 175), (255, 0, 255), (64, 64, 64)]
+# The frame of the document and the shape of its lines.
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft"%s version="1.2">\n  <graph mode="static" defaultedgetype="directed">\n    <nodes>\n'
 VIZ = ' xmlns:viz="http://www.gexf.net/1.1draft/viz"'
 MIDDLE, TAIL = "    </nodes>\n    <edges>\n", "    </edges>\n  </graph>\n</gexf>"
@@ -74,12 +75,15 @@ def image_rows(clusters: DataFrame, width: int) -> DataFrame:
 
 
 def write_png(rows: DataFrame, path: str) -> None:
-    """A black-and-white PNG of (row, pixels); the picture's rows come to the driver one at a time."""
+    """A black-and-white PNG of (row, pixels); the picture's rows come to the driver one at a time and go to the file compressed."""
     import struct
     import zlib
 
-    lines = [bytes([0] + [255 if p else 0 for p in r.pixels]) for r in rows.orderBy("row").toLocalIterator()]
-    width = len(lines[0]) - 1 if lines else 0
+    size = rows.agg(F.count("*"), F.max(F.size("pixels"))).first()
+    pack = zlib.compressobj()
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     with open(path, "wb") as out:
-        out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(lines), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b""))
+        out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", size[1] or 0, size[0], 8, 0, 0, 0, 0)))
+        for r in rows.orderBy("row").toLocalIterator():
+            out.write(chunk(b"IDAT", pack.compress(bytes([0] + [255 if p else 0 for p in r.pixels]))))
+        out.write(chunk(b"IDAT", pack.flush()) + chunk(b"IEND", b""))
