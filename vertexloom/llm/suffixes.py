@@ -15,6 +15,8 @@ from .common import Stage, pieces, prefix_hash, span_hash
 
 WINDOW = 100
 GRAM = 32
+#: Common prefixes are measured at least this often, so lengths up to the window and so much more are enough.
+STRIDE = 128
 #: A reduced string with more names than this is ranked by doubling instead of recursion (see `suffix_array`).
 RECURSE = 1024
 
@@ -149,11 +151,12 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     return _induce(t, k, small, lms[order])
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, forced: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(t: np.ndarray, sa: np.ndarray, forced: np.ndarray, most: int, least: int = 0) -> np.ndarray:
     """Permuted: by position, the common prefix with the preceding suffix in the array, up to `most`.
 
     Only irreducible values, and those at `forced` positions, are measured; each
-    following position has one less than the one before it.
+    following position has one less than the one before it. Values below `least`
+    may come out smaller than they are.
     """
     n = len(t)
     before = np.empty(n, np.int64)
@@ -165,11 +168,13 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, forced: np.ndarray, most: int
     i, prior = i[ok[: n - 1]], before[1:][ok[: n - 1]]
     measured[i] = t[i - 1] != t[prior - 1]
     measured[forced] = True
-    at = np.flatnonzero(measured)
-    other = before[at]
     prefix = prefix_hash(t.astype(np.uint64) + np.uint64(1))
-    length = np.zeros(len(at), np.int64)
-    step = 1 << (most.bit_length() - 1)
+    all_at = np.flatnonzero(measured)
+    near = all_at[(before[all_at] >= 0) & (np.maximum(all_at, before[all_at]) + least <= n)]
+    at = near[span_hash(prefix, near, near + least) == span_hash(prefix, before[near], before[near] + least)] if least else near
+    other = before[at]
+    length = np.full(len(at), least, np.int64)
+    step = 1 << (max(1, most - least).bit_length() - 1)
     while step:
         end = np.maximum(at, other) + length + step
         can = np.flatnonzero((other >= 0) & (end <= n))
@@ -194,7 +199,7 @@ def array_matches(payloads: list[bytes], window: int) -> tuple[np.ndarray, np.nd
     t[first + size] = 1  # between sequences
     t[-1] = 0
     sa = suffix_array(t, 258)
-    prefix = common_prefixes(t, sa, first, int(size.max()) + 1)
+    prefix = common_prefixes(t, sa, np.union1d(first, np.arange(0, len(t), STRIDE)), window + STRIDE, window)
     owner = np.repeat(np.arange(len(size)), size + 1)
     rest = np.append((first + size)[owner] - np.arange(len(owner)), 0)
     full = rest >= window
