@@ -4,6 +4,7 @@ import hashlib
 import re
 import uuid
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -25,6 +26,7 @@ from vertexloom.llm.suffixes import drop_repeated_bytes
 from vertexloom.llm.topk import top_products
 from vertexloom.llm.toxicity import toxicity_scores
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, spans string, rank int, size int"
 # The base kinds of secrets as the contract has them, with the group and least length that count.
 PLAIN = [(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)]
@@ -404,6 +406,17 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path, labels):
         assert step(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for path in Path(SF).glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
+    got, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
 def test_registry():
     names = list(queries.queries())
     assert len(names) == 10 and sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

@@ -377,4 +377,22 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: All pairs that share a shingle, and all that links reach.
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as materialized (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+pairs as materialized (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as materialized (
+  select a, b from pairs join n x on a = x.doc_id join n y on b = y.doc_id where 100 * shared >= 85 * (x.n + y.n - shared)),
+step as materialized (select a, b from links union select b, a from links),
+reach(id, r) as (select doc_id, doc_id from documents union select reach.id, step.b from reach join step on reach.r = step.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id
+from documents d left join n on d.doc_id = n.doc_id join (select id, min(r) as component_id from reach group by 1) c on d.doc_id = c.id
+"""
+
 __all__ = ["grouped", "linked_sets", "near_duplicates", "op1_ngram_join", "shingle_sets"]

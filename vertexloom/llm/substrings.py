@@ -147,4 +147,22 @@ def op2_substrings(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Every window, numbered within its word sequence.
+OP2_SQL = r"""
+with w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w)),
+rep as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from win) where k > 1),
+pos as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from w),
+flag as (
+  select p.doc_id, p.i, word,
+    coalesce(max(r.i) over (partition by p.doc_id order by p.i rows between 19 preceding and current row), 0) > 0 as gone
+  from pos p left join rep r on p.doc_id = r.doc_id and p.i = r.i),
+kept as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as t
+  from flag group by 1)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from documents d left join kept k on d.doc_id = k.doc_id
+"""
+
 __all__ = ["SuffixAutomaton", "automaton_matches", "drop_repeats", "op2_substrings"]

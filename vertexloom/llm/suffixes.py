@@ -258,3 +258,25 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False).drop("kept")
+
+
+#: Every byte window, numbered within its string; texts are cut in hexadecimal.
+OP5_SQL = r"""
+with b as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+win as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as g from (select doc_id, h, unnest(range(0, n - 99)) as i from b)),
+rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from win) where k > 1),
+runs as (
+  select doc_id, min(i) as lo, max(i) + 100 as hi
+  from (select doc_id, i, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run
+    from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as new from rep))
+  group by doc_id, run),
+gaps as (
+  select doc_id, n, h, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as last
+  from (select b.doc_id, n, h, lo, hi from b left join runs on b.doc_id = runs.doc_id
+    union all select doc_id, n, h, n, n from b where doc_id in (select doc_id from runs))),
+kept as (
+  select doc_id, any_value(n) as n, sum(case when lo < hi then hi - lo else 0 end) as n_removed, count(*) filter (lo < hi) as n_spans,
+    string_agg(substr(h, 2 * last + 1, 2 * (coalesce(lo, n) - last)), '' order by last) as t
+  from gaps group by 1)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, n_spans, sha256(unhex(t)) as kept_sha256 from kept
+"""
