@@ -87,6 +87,23 @@ def test_ngram_join_by_either_branch(docs, boundary, monkeypatch):
     assert by_id(near_duplicates(docs, 80, 5, boundary), "n_shingles", "component_id") == brute.components(corpus(), 5, 80)
 
 
+@pytest.mark.parametrize("boundary", [1, 10**6])
+def test_ngram_join_of_drifting_texts(spark, boundary):
+    """Chains in which neighbours link and far texts do not, so that links to centres leave pairs to verify."""
+    rng = np.random.default_rng(3)
+    vocab, rows = [f"w{i}" for i in range(3000)], []
+    for _ in range(6):
+        w = list(rng.choice(vocab, 160))
+        for _ in range(30):
+            rows.append(" ".join(w))
+            w[int(rng.integers(160))] = rng.choice(vocab)
+            if rng.random() < 0.5:
+                w[int(rng.integers(160))] = rng.choice(vocab)
+    rows = [(i, str(t)) for i, t in enumerate(rng.permutation(rows))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), boundary=boundary)
+    assert by_id(got, "n_shingles", "component_id") == brute.components(rows)
+
+
 def test_boundary_is_where_costs_are_least():
     from types import SimpleNamespace
 

@@ -89,9 +89,20 @@ FAN_IN = 256
 def summed(table: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], width: int) -> np.ndarray:
     """The sum over all partitions of a vector that the kernel makes of each.
 
-    A partition sends packed chunks; they are added in two rounds, in the order of
-    the partitions, so only `width` sums come to the driver and reruns agree.
+    A wide vector is sent in packed chunks, which are added in two rounds; a narrow
+    one as rows. Only `width` sums come to the driver.
     """
+    out = np.zeros(width)
+    if width <= CHUNK:
+
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = kernel(batches)
+            if v is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(v, pa.float64())], names=["i", "v"])
+
+        for r in table.mapInArrow(rows_of, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r.i] = r.v
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, part = kernel(batches), TaskContext.get().partitionId()
@@ -99,7 +110,7 @@ def summed(table: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.nda
             chunks = [np.ascontiguousarray(v[lo : lo + CHUNK], np.float64).tobytes() for lo in range(0, width, CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([part] * len(chunks), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "part", "v"])
 
-    def add(rows):
+    def add(rows: pa.Table) -> pa.Table:
         parts = rows.column("part").to_pylist()
         held = dict(zip(parts, rows.column("v"), strict=True))
         total = sum(np.frombuffer(held[p].as_buffer(), np.float64) for p in sorted(held))
@@ -107,7 +118,6 @@ def summed(table: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.nda
 
     kind = "chunk int, part int, v binary"
     sums = table.mapInArrow(run, kind).groupBy("chunk", F.expr(f"part div {FAN_IN}")).applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
-    out = np.zeros(width)
     for r in sums.collect():
         v = np.frombuffer(r.v, np.float64)
         out[r.chunk * CHUNK : r.chunk * CHUNK + len(v)] = v

@@ -102,8 +102,8 @@ def boundary_of(classes: list, boundary: int | None = None) -> int:
     return int(2 ** ((classes[best - 1].k + 1) / 4)) if best else 1
 
 
-def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, boundary: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, links): _id, n, rep of every document; a, b, overlap of links between different sets.
+def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, boundary: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, parts): _id, n, rep of every document; a, b, overlap of links between different sets; rep, component of linked sets.
 
     Documents with equal sets are one set, named by its smallest _id. Links span
     every component: sets linked to a list's centre are merged first, and only
@@ -345,8 +345,17 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, bou
     crossing = rest.join(other, ["key", "kind"]).where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("acomponent")) & can & early & F.coalesce(near, F.lit(True)) & ((F.col("kind") == 0) | (F.col("n") > boundary) | (F.col("an") > boundary)))
     more = crossing.select("a", F.col("rep").alias("b")).distinct()
     more = stage.write(verified(more).where(linked).select("a", "b", "overlap"), "more")
+    parts = merged.select(F.col("id").alias("rep"), "component")
+    if not more.isEmpty():
+        # the components found so far are the vertices that the further links connect
+        name = lambda side: parts.select(F.col("rep").alias(side), F.col("component").alias(f"{side}_c"))
+        across = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_c", "a").alias("x"), F.coalesce("b_c", "b").alias("y"))
+        joined = connected_components(across, "x", "y").select(F.col("id").alias("component"), F.col("component").alias("_to"))
+        alone = more.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(parts, "rep", "left_anti").select("rep", F.col("rep").alias("component"))
+        parts = parts.unionByName(alone).join(joined, "component", "left").select("rep", F.coalesce("_to", "component").alias("component"))
+    parts = stage.write(parts, "parts")  # so that the join of members can split the copies of a set
     stage.drop("alive", "full", "ranked", "inverted", "centres", "merged", "open", "rest")
-    return members, links.unionByName(more)
+    return members, links.unionByName(more), parts
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, boundary: int | None = None) -> DataFrame:
@@ -367,9 +376,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS,
 
 def grouped(rows: DataFrame, percent: int = PERCENT, width: int = WORDS, boundary: int | None = None) -> DataFrame:
     """_id, n_shingles, _component of every row of (_id, text); see `near_duplicates`."""
-    members, links = linked_sets(rows, percent, width, boundary)
-    parts = connected_components(links, "a", "b").select(F.col("id").alias("rep"), "component")
-    parts = Stage(rows.sparkSession, "groups").write(parts, "parts")  # so that the join can split the copies of a set
+    members, _, parts = linked_sets(rows, percent, width, boundary)
     return members.join(parts, "rep", "left").select("_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("_component"))
 
 
