@@ -4,14 +4,14 @@ from vertexloom.graph import PropertyGraph
 
 
 def social(spark):
-    v = spark.createDataFrame([(1, "Alice", 28), (2, "Bob", 27), (3, "Charlie", 65), (4, "David", 42), (5, "Ed", 55), (6, "Fran", 50)], "id long, name string, age int")
-    e = spark.createDataFrame([(2, 1, 7), (2, 4, 2), (3, 2, 4), (3, 6, 3), (4, 1, 1), (5, 2, 2), (5, 3, 8), (5, 6, 3)], "src long, dst long, w int")
+    v = spark.createDataFrame([(1, "Iris", 31), (2, "Jon", 19), (3, "Kim", 72), (4, "Lea", 44), (5, "Max", 58), (6, "Nia", 50)], "id long, name string, age int")
+    e = spark.createDataFrame([(1, 2, 4), (2, 3, 1), (3, 1, 9), (4, 1, 2), (4, 3, 3), (5, 4, 6), (5, 6, 1), (6, 2, 5)], "src long, dst long, w int")
     return PropertyGraph(v, e)
 
 
 def weighted(spark):
-    v = spark.createDataFrame([(i + 1, c) for i, c in enumerate("abcdefg")], "id long, name string")
-    e = [(1, 2, 7), (1, 4, 5), (2, 3, 8), (2, 4, 9), (2, 5, 7), (3, 5, 5), (4, 5, 15), (4, 6, 6), (5, 6, 8), (5, 7, 9), (6, 7, 11)]
+    v = spark.createDataFrame([(i + 1, c) for i, c in enumerate("pqrstuvw")], "id long, name string")
+    e = [(1, 2, 3), (1, 3, 10), (2, 3, 4), (2, 4, 8), (3, 5, 2), (4, 5, 1), (4, 6, 7), (5, 6, 12), (6, 7, 5), (5, 7, 20), (1, 8, 30)]
     return PropertyGraph(v, spark.createDataFrame([(a, b, float(w)) for a, b, w in e], "src long, dst long, weight double"))
 
 
@@ -19,6 +19,7 @@ def edges_only(spark, pairs):
     return PropertyGraph.from_edges(spark.createDataFrame(pairs, "src long, dst long"))
 
 
+# The points of two moons, two of them with a class.
 MOONS = """
 36.61557569798658 47.349355875039336
 4.147805572508534 36.644809805476555
