@@ -547,7 +547,28 @@ def gexf_edges(spark, d):
     return gexf.gexf_edges(v.nation_flow(spark, d).map_edges(weight="cast(weight as bigint)"), "weight")
 
 
-@query()
+def _java_double(x: str) -> str:
+    """SQL of a double as Java writes it: powers of ten below 1e-3 and from 1e7 on."""
+    digits = "ltrim(replace(abs(x)::varchar, '.', ''), '0')"
+    tiny = f"left({digits}, 1) || '.' || coalesce(nullif(substr({digits}, 2), ''), '0') || 'E-4'"
+    mantissa, power = "split_part(abs(x)::varchar, 'e', 1)", "split_part(abs(x)::varchar, 'e', 2)::int"
+    small = f"{mantissa} || case when contains({mantissa}, '.') then '' else '.0' end || 'E' || {power}"
+    text = f"case when x = 0 or abs(x) >= 1e-3 then abs(x)::varchar when abs(x) >= 1e-4 then {tiny} else {small} end"
+    return f"list_transform([{x}], lambda x: case when x < 0 then '-' else '' end || {text})[1]"
+
+
+_COLOUR = "case class_num % 7 " + " ".join(f"when {k} then '{r}\" g=\"{g}\" b=\"{b}'" for k, (r, g, b) in enumerate(gexf.COLOURS)) + " end"
+
+
+@query(
+    v.with_views(
+        "points",
+        f"""select id, '      <node id="' || id || '" label="' || id || '">' || chr(10)
+        || '        <viz:position x="' || {_java_double("pos[1] * 10")} || '" y="' || {_java_double("pos[2] * 10")} || '" />' || chr(10)
+        || case when class_num is null then '' else '        <viz:color r="' || {_COLOUR} || '" />' || chr(10) end
+        || '      </node>' as line from points""",
+    )
+)
 def gexf_viz(spark, d):
     return gexf.gexf_viz_nodes(PropertyGraph(v.points(spark, d), v.points(spark, d).select(F.col("id").alias("src"), F.col("id").alias("dst"))), 10.0)
 
@@ -765,16 +786,77 @@ def _ratings(spark, d):
     return v.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).agg((F.avg("l_quantity") / 10).alias("rating"))
 
 
-@query()
+def _svdpp(rounds: int) -> str:
+    """SQL of the rounds of SVD++ over `e` (src, dst, rating): `score`, and the model u<rounds>, i<rounds>, c<rounds>."""
+    s = recommend.Settings(rounds=rounds)
+    dims = range(s.rank)
+    each = lambda form, sep=", ": sep.join(form.format(k=k) for k in dims)
+
+    def seeded(name: str, salt: int) -> str:
+        head = f"('0x' || substr(md5(id || ':{{k}}:{s.seed}:{salt}'), 1, 8))::bigint"
+        return each(f"({head} / 2147483648.0::double - 1) * 0.5 as {name}{{k}}")
+
+    def step(gamma: float) -> str:
+        return f"least({gamma}::double, 0.5::double / n)"
+
+    def contexts(r: int) -> str:
+        sums = each("sum(y{k}) as s{k}")
+        return f"""c{r} as materialized (select u.*, {each("p{k} + s{k} * norm as c{k}")}
+        from u{r} u join (select src, {sums} from e join i{r} i on dst = i.id group by 1) on src = u.id)"""
+
+    sql = f"""mean as materialized (select avg(rating) as m from e),
+    u0 as materialized (select *, {seeded("p", 1)} from
+        (select src as id, avg(rating) - any_value(m) as bias, 1 / sqrt(count(*)) as norm from e, mean group by 1)),
+    i0 as materialized (select *, {seeded("q", 2)}, {seeded("y", 3)} from
+        (select dst as id, avg(rating) - any_value(m) as bias from e, mean group by 1)),
+    {contexts(0)}"""
+    for r in range(rounds):
+        guess = f"m + c.bias + i.bias + {each('q{k} * c{k}', ' + ')}"
+        sql += f""",
+    r{r} as materialized (select *, {each(f"err * q{{k}} - {s.lambda7} * p{{k}} as dp{{k}}")},
+            {each(f"err * c{{k}} - {s.lambda7} * q{{k}} as dq{{k}}")}, {each(f"err * norm * q{{k}} - {s.lambda7} * y{{k}} as dy{{k}}")},
+            err - {s.lambda6} * bu as du, err - {s.lambda6} * bi as di
+        from (select src, dst, c.bias as bu, i.bias as bi, norm, {each("p{k}, c{k}, q{k}, y{k}")},
+                rating - least({s.most}::double, greatest({s.least}::double, {guess})) as err
+            from e join c{r} c on src = c.id join i{r} i on dst = i.id, mean)),
+    u{r + 1} as materialized (select id, bias + {step(s.gamma1)} * du as bias, norm, {each(f"p{{k}} + {step(s.gamma2)} * dp{{k}} as p{{k}}")}
+        from u{r} join (select src, count(*) as n, sum(du) as du, {each("sum(dp{k}) as dp{k}")} from r{r} group by 1) on src = id),
+    i{r + 1} as materialized (select id, bias + {step(s.gamma1)} * di as bias, {each(f"q{{k}} + {step(s.gamma2)} * dq{{k}} as q{{k}}")},
+            {each(f"y{{k}} + {step(s.gamma2)} * dy{{k}} as y{{k}}")}
+        from i{r} join (select dst, count(*) as n, sum(di) as di, {each("sum(dq{k}) as dq{k}, sum(dy{k}) as dy{k}")} from r{r} group by 1) on dst = id),
+    {contexts(r + 1)}"""
+    return sql
+
+
+#: The score of a pair of `c` (a user's context) and `i` (an item).
+_SCORE = "round(m + c.bias + i.bias + " + " + ".join(f"q{k} * c{k}" for k in range(recommend.Settings().rank)) + ", 6)"
+
+
+@query(
+    f"""with e as materialized (select l_suppkey as src, l_partkey + 1000000 as dst, avg(l_quantity) / 10 as rating from lineitem group by 1, 2),
+    {_svdpp(4)}
+    select src, dst, {_SCORE} as score from e join c4 c on src = c.id join i4 i on dst = i.id, mean"""
+)
 def svdpp_pred(spark, d):
     edges = _ratings(spark, d)
-    return recommend.predict(recommend.svdpp(edges, recommend.Settings(rounds=4)), edges.select("src", "dst"))
+    scored = recommend.predict(recommend.svdpp(edges, recommend.Settings(rounds=4)), edges.select("src", "dst"))
+    return scored.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(
+    f"""with t as ({_TRIPLES}), lives as (select * from t where predicate = 'lives_in'),
+    ids as materialized (select value, row_number() over (order by value) - 1 as id
+        from (select subject as value from lives union select object from lives)),
+    e as materialized (select a.id as src, b.id as dst, 1.0::double as rating from lives join ids a on subject = a.value join ids b on object = b.value),
+    {_svdpp(2)}
+    select i.id as dst, value, {_SCORE} as score from c2 c, i2 i join ids on ids.id = i.id, mean
+    where c.id = (select id from ids where value = 'Customer#000000001') and i.id not in (select dst from e where src = c.id)
+    order by m + c.bias + i.bias + {" + ".join(f"q{k} * c{k}" for k in range(recommend.Settings().rank))} desc, i.id limit 1"""
+)
 def missing_link(spark, d):
     graph = readers.encode(_triples(spark, d).where("predicate = 'lives_in'"))
-    return recommend.missing_link(graph, "lives_in", "Customer#000000001", recommend.Settings(rounds=2))
+    found = recommend.missing_link(graph, "lives_in", "Customer#000000001", recommend.Settings(rounds=2))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(v.with_views("points", "select a.id as src, b.id as dst from points a, points b where a.id <> b.id and a.pos[1] > b.pos[1]"))
