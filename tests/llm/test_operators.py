@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +329,9 @@ def test_redaction_follows_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _found int").withColumns({"_text": F.lit("t"), "_t": F.lit("u"), "n_chars": F.length("text").cast("long")})
     out = {r["_found"]: r for r in redact(docs).collect()}
     assert [out[i].text for i in range(5, 10)] == ["x <SECRET> y", rows[1][1], "q <SECRET>", None, ""]
+    long = "sk-a1B2c3D4e5F6g7H8i9J0eyJhbG7iOiJ3.k9Qz4Lw8Vb2X.Sf1Kxw5RJ3MeK8Tn6Pu0"  # a token begins within another and ends behind it
+    one = spark.createDataFrame([(1, f"p {long} q", "s1")], "doc_id long, text string, source string")
+    assert redact(one).first().text == "p <SECRET> q"
     assert out[5].n_chars == 12 and out[6].n_chars == len(rows[1][1]) and redact(docs).columns == docs.columns
 
 
@@ -477,3 +481,40 @@ def test_steps_draw_from_all_positives(spark, tmp_path):
     draws = [np.load(f) for f in tmp_path.glob("*.npy")]
     assert len({d.tobytes() for d in draws}) == len(draws) > 100
     assert len(np.unique(np.concatenate(draws))) > 8900
+
+
+def test_pipeline_agrees_with_brute_force(spark, tmp_path):
+    """All rows of the pipeline: every stage by a plain version over what the one before has kept."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(31)
+    key = ["ghp_" + "".join(rng.choice(list("abcdefXYZ0123456789"), 24)) for _ in range(4)]
+    say = lambda n: " ".join(rng.choice(VOCAB, n))
+    passage = say(25)
+    texts = dict(corpus()) | {200 + i: f"{say(40)} {key[i % 4]} {say(60)}" for i in range(9)} | {300: f"{say(50)} {passage} {say(10)}", 301: f"{say(9)} {passage}"}
+    texts |= {400 + i: "| # $ " * (90 + i) for i in range(6)}
+    source = {i: f"s{i % 3}" for i in texts} | {200: "s0", 204: "s1", 208: "s2"}  # the first key has three owners
+    rows = [(i, t, "en", source[i], len(t or "")) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 400), 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    scores = quality_scores(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+    kept = [(r.doc_id, texts[r.doc_id]) for r in scores if r.score >= corpus_pipeline.LEAST_QUALITY]
+    first = brute.components(kept, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
+    kept = [(i, t) for i, t in kept if first[i][1] == i and passage not in (t or "")]
+    owners = {}
+    for i, t in kept:
+        for *_, value in find_spans(t):
+            owners.setdefault(value, set()).add(source[i])
+    clean = {}
+    for i, t in kept:
+        secret = {at for start, _, end, value in find_spans(t) if len(owners[value]) <= 2 and looks_random(value) for at in range(start, end)}
+        clean[i] = "".join("" if at in secret and at - 1 in secret else "<SECRET>" if at in secret else c for at, c in enumerate(t)) if secret else t
+    table = pa.table({"doc_id": list(clean), "text": pa.array(list(clean.values()), pa.string()), "source": [source[i] for i in clean]})
+    plan = duck(f"select doc_id, size, taken from ({queries.oracle_sql()['op6_mixing']}) where taken > 0", documents=table)
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "n_chars", "source", "size", "taken").collect()
+    assert Counter(map(tuple, got)) == Counter((i, clean[i], len(clean[i] or ""), source[i], size, taken) for i, size, taken in plan)
+    hidden = {i for i in clean if "<SECRET>" in (clean[i] or "")}
+    assert hidden and any(key[0] in (clean[i] or "") for i in clean) and not {300, 301} & set(clean)

@@ -121,11 +121,13 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def _redact(found: list[dict] | None, text: str) -> str:
+    """Live spans that overlap are hidden together, so no end of one stays in clear."""
     out, at = [], 0
     for f in found or []:
-        if f["verdict"] == "live" and f["start"] >= at:
-            out += [text[at : f["start"]], "<SECRET>"]
-            at = f["end"]
+        if f["verdict"] == "live":
+            if f["start"] >= at:
+                out += [text[at : f["start"]], "<SECRET>"]
+            at = max(at, f["end"])
     return "".join([*out, text[at:]])
 
 
