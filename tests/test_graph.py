@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tests.fixtures import edges_only, moons, social, weighted
@@ -335,3 +336,16 @@ def test_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session)
+
+
+def test_power_iteration_separates_two_cliques(spark):
+    """Cliques of different sizes, since the start is by degree."""
+    near = [(a + k, b + k, 1.0) for k, n in ((0, 4), (10, 12)) for a in range(n) for b in range(a + 1, n)] + [(0, 10, 0.01)]
+    found = {r.id: r.cluster for r in pipelines.power_clusters(spark.createDataFrame(near, "src long, dst long, similarity double"), rounds=5).collect()}
+    assert len({found[i] for i in range(4)}) == len({found[i] for i in range(10, 22)}) == 1 and found[0] != found[10]
+
+
+def test_classifier_of_separable_rows(spark):
+    rows = [(i, float(i >= 20), Vectors.dense(float(i), 1.0)) for i in range(40)]
+    rows = spark.createDataFrame(rows, ["id", "label", "features"])
+    assert pipelines.accuracy(rows, pipelines.fit_classifier(rows, 50)).first().accuracy == 100.0
