@@ -138,6 +138,36 @@ def test_hot_anchors_are_split(docs, often, monkeypatch):
     assert by_id(drop_repeated_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(corpus())
 
 
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_windows_of_hot_anchors_travel_by_their_hashes(spark, monkeypatch, held):
+    """A line that is in all texts, between words of their own: its windows are not sent, nor put into an array, as strings."""
+    from vertexloom.llm import anchors
+
+    rng = np.random.default_rng(3)
+    say = lambda n: "".join(chr(x) for x in rng.integers(97, 123, n))
+    line = say(70)
+    rows = [(i, say(150) + line + say(150)) for i in range(60)] + [(60 + i, line + say(60) + line) for i in range(9)] + [(70, say(400))]
+    rows += [(71, rows[0][1][:280]), (72, rows[70 - 1][1]), (None, rows[3][1])]
+    sent, write = [], Stage.write
+
+    def noted(self, df, table):
+        out = write(self, df, table)
+        if table == "segments":
+            sent.extend(out.where("payload is not null").select("k1", F.octet_length("payload")).collect())
+        return out
+
+    monkeypatch.setattr(Stage, "write", noted)
+    monkeypatch.setattr(anchors.repeated_windows, "__defaults__", (2,))
+    monkeypatch.setattr(anchors, "SINGLES", held, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(drop_repeated_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    expected = brute.suffixes([(-1 if i is None else i, t) for i, t in rows])
+    assert {-1 if i is None else i: r for i, r in got.items()} == expected
+    packed = [size for k1, size in sent if k1 is None]
+    assert sum(packed) // 32 > 1000 and not any(size % 32 for size in packed)
+    assert sum(size for k1, size in sent if k1 is not None) < 10_000
+
+
 def test_suffixes(docs, empty):
     assert by_id(drop_repeated_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(corpus())
     assert drop_repeated_bytes(empty).count() == 0

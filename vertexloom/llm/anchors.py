@@ -13,9 +13,10 @@ equal places. Consecutive windows with one anchor form a segment.
    batch, a segment's later copies are known to repeat; only its first goes on.
 3. Segments meet by anchor in shards of bounded size, where a matcher (suffix
    automaton or suffix array) finds the windows that occur earlier. An anchor
-   with more than `hot` occurrences is split: its windows go by their own hash,
-   so a group with a third of all rows is spread over as many shards as it has
-   different windows.
+   with more than `hot` occurrences is split: its windows meet by their own
+   hashes, packed and without their symbols, so a group with a third of all rows
+   is spread over as many keys as it has different windows. A matcher would find
+   nothing more among single windows, which are equal or share none.
 4. The covered spans return to their documents.
 
 Every stage is exact up to 64-bit hashes of grams and 128-bit hashes of segments.
@@ -44,6 +45,8 @@ OFTEN = 8
 MARK, KNOWN, ALWAYS = -1, -2, 1 << 30
 #: Segments to a shard.
 SHARD = 8000
+#: Single windows held until they are packed, all of a batch or little more than so many.
+SINGLES = 1 << 20
 
 #: (bytes, row offsets) -> (symbols, first symbol of each row, byte start and byte end of each symbol or None for bytes)
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
@@ -180,8 +183,26 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
     held = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(send, "bucket int, h binary, doc binary, start binary").groupBy("bucket").applyInArrow(keep, "t long, h long, n int")
     lists = stage.write(held.join(firsts.select("t", "_id"), "t").groupBy("_id").agg(F.collect_list(F.struct("h", "n")).alias("anchors")), "anchors")
 
+    names = ["route", "k1", "k2", "doc", "lo", "hi", "payload"]
+
+    def pack(singles: list[tuple]) -> pa.RecordBatch:
+        """Single windows by bucket, 32 bytes each, after the later copies among them as spans."""
+        k1, k2, doc, start = (np.concatenate(x) for x in zip(*singles, strict=True))
+        lead, later = _firsts(k1, k2, doc, start)
+        gone = merged(doc[later], start[later], start[later] + window)
+        bucket = (k1[lead] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        used, at = np.unique(bucket[order], return_index=True)
+        packed = np.stack([x[lead[order]].view(np.int64) for x in (k1, k2, doc, start)], axis=1)
+        m, g = len(used), len(gone[0])
+        null = pa.nulls(m + g, pa.int64())
+        spans = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(x)]) for x in gone]
+        data = binary_array(packed.reshape(-1).view(np.uint8), np.append(at, len(order)) * 32)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(used), pa.nulls(g, pa.int64())]), null, null, *spans, pa.concat_arrays([data, pa.nulls(g, pa.binary())])], names=names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            singles, held = [], 0
             for part, buf, off in pieces(batch, "text"):
                 lists = part.column(2)
                 flat = lists.flatten()
@@ -209,20 +230,24 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
                 wide = (last - begin + 1)[warm]
                 each = np.repeat(warm, wide)
                 start = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(wide) - wide, wide)
-                b, e = np.concatenate([begin[cold], start]), np.concatenate([last[cold], start])
-                owner = np.concatenate([cold, each])
-                k1, k2 = span_hash(prefix, b, e + window), span_hash(other, b, e + window)
-                route = np.concatenate([anchor[cold], k1[len(cold) :]])
+                if len(each):
+                    singles.append((span_hash(prefix, start, start + window), span_hash(other, start, start + window), doc[each], start - first[row[each]]))
+                    held += len(each)
+                if held > SINGLES:
+                    yield pack(singles)
+                    singles, held = [], 0
+                b, e = begin[cold], last[cold]
                 data, at = _spans(buf, b if lo is None else lo[b], e + window if hi is None else hi[e + window - 1])
-                m, g = len(b), len(gone[0])
-                null = pa.nulls(g, pa.int64())
+                null = pa.nulls(len(gone[0]), pa.int64())
                 both = lambda x: pa.concat_arrays([pa.array(x.view(np.int64)), null])
-                yield pa.RecordBatch.from_arrays([both(route), both(k1), both(k2), pa.array(np.concatenate([doc[owner], gone[0]])), pa.array(np.concatenate([b - first[row[owner]], gone[1]])), pa.array(np.concatenate([e - first[row[owner]] + window, gone[2]])), pa.concat_arrays([binary_array(data, at), pa.nulls(g, pa.binary())])], names=["route", "k1", "k2", "doc", "lo", "hi", "payload"])
+                yield pa.RecordBatch.from_arrays([both(anchor[cold]), both(k1[cold]), both(k2[cold]), pa.array(np.concatenate([doc[cold], gone[0]])), pa.array(np.concatenate([b - first[row[cold]], gone[1]])), pa.array(np.concatenate([e - first[row[cold]] + window, gone[2]])), pa.concat_arrays([binary_array(data, at), pa.nulls(len(gone[0]), pa.binary())])], names=names)
+            if singles:
+                yield pack(singles)
 
     kind = "route long, k1 long, k2 long, doc long, lo long, hi long, payload binary"
     found = docs.join(lists.hint("shuffle_hash"), "_id", "left").select("_id", "text", "anchors").mapInArrow(cut, kind)
     found = stage.write(found, "segments")
-    shards = max(8, found.where("route is not null").count() // SHARD)
+    shards = max(8, found.where("k1 is not null").count() // SHARD)
 
     def match(table):
         k1, k2, doc, lo, hi = (table.column(x).to_numpy() for x in ("k1", "k2", "doc", "lo", "hi"))
@@ -234,9 +259,17 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, matcher: Matcher, window
         gone = merged(np.concatenate([doc[later], doc[which]]), np.concatenate([lo[later], lo[which] + a]), np.concatenate([hi[later], lo[which] + b + window]))
         return pa.table({"doc": gone[0].astype(np.int64), "lo": gone[1].astype(np.int64), "hi": gone[2].astype(np.int64)})
 
+    def meet(table):
+        packed = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("payload")]).reshape(-1, 4)
+        k1, k2, doc, start = np.ascontiguousarray(packed.T)
+        _, later = _firsts(k1, k2, doc, start)
+        gone = merged(doc[later], start[later], start[later] + window)
+        return pa.table(dict(zip(("doc", "lo", "hi"), gone, strict=True)))
+
     shard = F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int").alias("shard")
-    met = found.where("route is not null").select(shard, "k1", "k2", "doc", "lo", "hi", "payload").groupBy("shard").applyInArrow(match, "doc long, lo long, hi long")
-    gone = met.unionByName(found.where("route is null").select("doc", "lo", "hi")).unionByName(copies.select(F.col("_id").alias("doc"), F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).cast("long").alias("hi")))
+    met = found.where("k1 is not null").select(shard, "k1", "k2", "doc", "lo", "hi", "payload").groupBy("shard").applyInArrow(match, "doc long, lo long, hi long")
+    single = found.where("route is not null and k1 is null").select("route", "payload").groupBy("route").applyInArrow(meet, "doc long, lo long, hi long")
+    gone = met.unionByName(single).unionByName(found.where("route is null").select("doc", "lo", "hi")).unionByName(copies.select(F.col("_id").alias("doc"), F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).cast("long").alias("hi")))
     out = stage.write(gone.groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     stage.drop("segments", "anchors", "texts", "firsts")
     return out

@@ -182,17 +182,22 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, where, span = values, np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64), 1
+    least, span = values, 1
     while span * 2 <= width:
-        right = best[span:] < best[: len(best) - span]
-        where = np.where(right, where[span:], where[: len(where) - span])
-        best = np.where(right, best[span:], best[: len(best) - span])
+        least = np.minimum(least[span:], least[: len(least) - span])
         span *= 2
     if span < width:
-        gap = width - span
-        right = best[gap:] < best[: len(best) - gap]
-        where = np.where(right, where[gap:], where[: len(where) - gap])
-    return where[:n]
+        least = np.minimum(least[width - span :], least[: len(least) - (width - span)])
+    # the index moves on where a smaller value enters or the smallest one leaves
+    where = np.zeros(n, np.int64)
+    enters = np.flatnonzero(least[1:] < least[:-1]) + 1
+    where[enters] = enters + width - 1
+    leaves = np.append(0, np.flatnonzero(values[: n - 1] == least[:-1]) + 1)
+    view = np.lib.stride_tricks.sliding_window_view(values, width)
+    for lo in range(0, len(leaves), 1 << 14):
+        at = leaves[lo : lo + (1 << 14)]
+        where[at] = at + view[at].argmin(axis=1)
+    return np.maximum.accumulate(where)
 
 
 def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListArray:

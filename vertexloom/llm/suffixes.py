@@ -108,8 +108,9 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:] + 1 if step < n else 0
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
+        order = np.argsort(key)  # equal keys get one rank, in any order
+        key = key[order]
+        new = np.append(0, np.cumsum(key[1:] != key[:-1]))
         rank = np.empty(n, np.int64)
         rank[order] = new
         if new[-1] == n - 1:
