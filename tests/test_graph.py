@@ -349,3 +349,26 @@ def test_classifier_of_separable_rows(spark):
     rows = [(i, float(i >= 20), Vectors.dense(float(i), 1.0)) for i in range(40)]
     rows = spark.createDataFrame(rows, ["id", "label", "features"])
     assert pipelines.accuracy(rows, pipelines.fit_classifier(rows, 50)).first().accuracy == 100.0
+
+
+def test_triangles_in_parts_without_rows_of_wedges(spark, monkeypatch):
+    """Several parts, near and far corners, a hub; what is dealt out holds no wedges."""
+    from itertools import combinations
+    from random import Random
+
+    from vertexloom.algorithms import corners
+
+    dice = Random(5)
+    pairs = {tuple(sorted(dice.sample(range(60), 2))) for _ in range(500)} | {(100, i) for i in range(60)} | {(k, k + j) for k in range(200, 290) for j in (1, 2)}
+    links = {frozenset(p) for p in pairs}
+    ids = sorted({i for p in pairs for i in p})
+    found = [t for t in combinations(ids, 3) if all(frozenset(x) in links for x in combinations(t, 2))]
+    want = {i: sum(i in t for t in found) for i in ids}
+    g = edges_only(spark, sorted(pairs))
+    for held in (corners.HELD, 150, 1):
+        monkeypatch.setattr(corners, "HELD", held)
+        assert as_dict(communities.triangles(g)) == want
+    monkeypatch.setattr(corners, "STEP", 5)
+    assert communities.clustering_coefficient(g).first().triangles == 3 * len(found)
+    plan = communities.triangles(g)._jdf.queryExecution().toString()
+    assert "gy" not in plan and "FlatMapGroupsInArrow" in plan
