@@ -372,3 +372,22 @@ def test_triangles_in_parts_without_rows_of_wedges(spark, monkeypatch):
     assert communities.clustering_coefficient(g).first().triangles == 3 * len(found)
     plan = communities.triangles(g)._jdf.queryExecution().toString()
     assert "gy" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_similar_pairs_in_blocks(spark, monkeypatch):
+    """Several blocks give the rows of a join of all pairs; one file of points is dealt out to all tasks."""
+    from random import Random
+
+    dice = Random(3)
+    rows = [(i, [dice.gauss(0, 1) for _ in range(6)]) for i in range(120)] + [(200, [0.0] * 6), (201, [float("nan")] * 6)]
+    points = spark.createDataFrame(rows, "id long, pos array<double>").coalesce(1)
+    size = {i: sum(x * x for x in p) ** 0.5 for i, p in rows}
+    dot = lambda p, q: sum(x * y for x, y in zip(p, q, strict=True))
+    want = {(a, b) for a, p in rows for b, q in rows if a < b and a < 200 > b and dot(p, q) / size[a] / size[b] > 0.3}
+    want |= {(i, 201) for i, _ in rows if i < 200}  # NaN is above all numbers
+    for sent in (16 << 20, 900):
+        monkeypatch.setattr("vertexloom.algorithms.blocks.SENT_BYTES", sent)
+        got = pipelines.similarity_edges(points, 0.3, "pos")
+        found = [(r.src, r.dst) for r in got.collect()]
+        assert len(found) == len(set(found)) and {x for x in found if x != (200, 201)} == want
+        assert got.rdd.getNumPartitions() > 1 and "NestedLoop" not in got._jdf.queryExecution().toString()
