@@ -412,3 +412,22 @@ def test_nearest_points_keep_few_candidates(monkeypatch):
         dist = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
         assert (got == np.lexsort((np.broadcast_to(np.arange(4000), dist.shape), dist))[:, :5]).all()
         assert kept < 1200 or scale != 1.0 or shift
+
+
+def test_rank_ratio_of_one_run(spark, monkeypatch):
+    steps, step = [], ranking._step
+    monkeypatch.setattr(ranking, "_step", lambda *a: steps.append(1) or step(*a))
+    g = edges_only(spark, SPAM_EDGES)
+    got = as_dict(pipelines.rank_ratio(g, 5, 1))
+    assert len(steps) == 5
+    late, early = as_dict(ranking.pagerank_rounds(g, 5)), as_dict(ranking.pagerank_rounds(g, 1))
+    assert got == {i: late[i] / early[i] for i in late}
+
+
+def test_recommendation_rounds_are_compiled(spark, monkeypatch):
+    """Rounds work on columns: no function over arrays is left in what they write."""
+    plans, write = [], recommend.cut
+    monkeypatch.setattr(recommend, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    ratings = spark.createDataFrame([(1, 11, 5.0), (1, 12, 4.0), (2, 12, 5.0)], "src long, dst long, rating double")
+    recommend.svdpp(ratings, recommend.Settings(rounds=1))
+    assert len(plans) > 4 and not any("lambda" in p for p in plans)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,16 @@ def pagerank_rounds(graph: PropertyGraph, rounds: int, damping: float = 0.85, in
     The rank of vertices without out-edges is not passed on; `normalize` scales
     the result to a mean of 1. With `source` only that vertex starts and teleports.
     """
+    return pagerank_stages(graph, (rounds,), damping, init, normalize, source)[0]
+
+
+def pagerank_stages(graph: PropertyGraph, rounds: Sequence[int], damping: float = 0.85, init: float = 1.0, normalize: bool = False, source: int | None = None) -> list[DataFrame]:
+    """The ranks after each number of rounds, out of one run."""
     links, ranks = _prepared(graph), _start(graph, init, source)
-    for _ in range(rounds):
-        ranks = cut(_step(graph, links, ranks, damping, source))
-    return _normalized(ranks) if normalize else ranks
+    at = {0: ranks}
+    for k in range(max(rounds)):
+        ranks = at[k + 1] = cut(_step(graph, links, ranks, damping, source))
+    return [_normalized(at[k]) if normalize else at[k] for k in rounds]
 
 
 def pagerank(graph: PropertyGraph, tol: float = 0.001, damping: float = 0.85, init: float = 1.0, source: int | None = None, max_rounds: int = 200) -> DataFrame:
