@@ -431,3 +431,17 @@ def test_recommendation_rounds_are_compiled(spark, monkeypatch):
     ratings = spark.createDataFrame([(1, 11, 5.0), (1, 12, 4.0), (2, 12, 5.0)], "src long, dst long, rating double")
     recommend.svdpp(ratings, recommend.Settings(rounds=1))
     assert len(plans) > 4 and not any("lambda" in p for p in plans)
+
+
+def test_ordered_pairs_repeat_in_files(spark, tmp_path):
+    """Blocks of the least and of a greater size, ties, gaps; the file is far smaller than its ids."""
+    rows = [(i, float(i * 7 % 50)) for i in range(300)] + [(300, None), (301, float("nan"))]
+    points = spark.createDataFrame(rows, "id long, x double")
+    above = lambda x, y: x is not None and y is not None and y == y and (x != x or x > y)
+    want = {(a, b) for a, x in rows for b, y in rows if above(x, y)}
+    for block in (1, 32, 4096):
+        found = [(r.src, r.dst) for r in neighbors.ordered_pairs(points, block).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    spark.range(2000).selectExpr("id as vec_id", "array(cast(xxhash64(id) % 100000 as float)) as embedding", "0 as label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    catalog.QUERIES["all_pairs"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 600_000  # 2,000,000 rows or so, 1.4 bytes each in the order of a nested loop
